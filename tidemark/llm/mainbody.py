@@ -40,6 +40,7 @@ class Page:
         n = source.count("\n") + 1
         self.lines = [Line() for _ in range(n)]
         self.kinds: dict[int, set[str]] = {0: set()}
+        self.opened: dict[int, int] = {0: 0}
         self.notices: list[str] = []
         stack: list[str] = []
         at, skip, boxes, link, bold = 0, "", 0, 0, 0
@@ -95,7 +96,7 @@ class Page:
                 if not closing:
                     if not stack:
                         boxes += 1
-                        self.kinds[boxes] = {name}
+                        self.kinds[boxes], self.opened[boxes] = {name}, here
                     elif name in _APART:
                         self.kinds[boxes].add("has " + name)
                     stack.append(name)
@@ -153,7 +154,7 @@ def main_lines(source: str | None, page: Page | None = None, window: int = 3, su
         first, last = rows[0], rows[-1]
         lengths = [0 if _linked(page.lines[k]) or page.lines[k].box != box else len(page.lines[k].text) for k in range(first, last + 1)]
         # One line that opens and closes its element itself is a loose paragraph, not a body.
-        if len(rows) == 1 and not _opens_before(source, rows[0]):
+        if len(rows) == 1 and page.opened[box] == rows[0]:
             continue
         for a, b in blocks(lengths, window, surge):
             weight = sum(n for n in lengths[a : b + 1] if n >= surge) * (4.0 if headline else 1.0)
@@ -164,11 +165,6 @@ def main_lines(source: str | None, page: Page | None = None, window: int = 3, su
     return best
 
 
-def _opens_before(source: str, row: int) -> bool:
-    text = source.split("\n")[row]
-    return not re.match(r"\s*<(?:div|section|p|article|main)\b", text, re.I)
-
-
 class MainBody:
     """Finds the main body's lines in pages.
 

@@ -31,6 +31,18 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.clean(docs).select("fetch_no", "body")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mainbody import MainBody
+
+    return MainBody().lines(_read(spark, sf_dir, "raw_pages"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mainbody import MainBody
+
+    return MainBody().bodies(_read(spark, sf_dir, "raw_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.neighbours import VantagePointNeighbours
 
@@ -56,6 +68,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.residue import ResidueFinder
+
+    return ResidueFinder().find(_read(spark, sf_dir, "crawled_docs"), _read(spark, sf_dir, "raw_pages")).select("fetch_no")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_ranking(spark, sf_dir).where("place <= 5").select("query_id", "doc_id")
 
@@ -66,6 +84,30 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin_ranking(_read(spark, sf_dir, "ranked_lists"), _read(spark, sf_dir, "score_lists")).select("query_id", "doc_id", "place")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import LanguageLabeller
+
+    return LanguageLabeller().missing(_read(spark, sf_dir, "crawled_docs"))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import LanguageLabeller
+
+    return LanguageLabeller().segments(_read(spark, sf_dir, "crawled_docs"))
+
+
+def p7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import LanguageLabeller
+
+    return LanguageLabeller().labels(_read(spark, sf_dir, "crawled_docs"))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.leaks import LeakFinder
+
+    return LeakFinder().find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.leaks import LeakFinder
 
@@ -90,10 +132,18 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SourceMixer(VOCABULARY).mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.spam import SpamFinder
+
+    return SpamFinder().find(_read(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found,
-        "p6_ranking": p6_ranking, "p8_found": p8_found, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix,
+        "p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found,
+        "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found,
+        "p7_segments": p7_segments, "p7_labels": p7_labels, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found,
+        "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found,
     }
 
 
