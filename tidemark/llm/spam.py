@@ -31,7 +31,7 @@ def repeated(words: list[str], function: frozenset[str] | set[str]) -> list[bool
     """For each word whether it stands in a phrase repeated over and over.
 
     That is a run of at least five occurrences of a pair of words, not both function words, with at
-    most three words between one and the next.
+    most six words between one and the next.
     """
     inside = [False] * len(words)
     pairs = Counter(zip(words, words[1:]))
@@ -43,7 +43,7 @@ def repeated(words: list[str], function: frozenset[str] | set[str]) -> list[bool
         if pair not in often:
             continue
         run = runs.get(pair)
-        if run and k - run[-1] <= 5:
+        if run and k - run[-1] <= 8:
             run.append(k)
         else:
             if run and len(run) >= 5:
@@ -74,7 +74,8 @@ def features(text: str | None, function: dict[str, frozenset[str]], every: froze
         for piece in _STOP.split(line):
             own = _WORD.findall(piece.lower())
             if own:
-                bare = sum(w in every for w in own) < 0.15 * len(own)
+                # What doesn't end like a sentence needs more function words to count as one.
+                bare = sum(w in every for w in own) < (0.15 if piece.rstrip()[-1:] in ".!?…" else 0.3) * len(own)
                 words += own
                 listed += [bare] * len(own)
     n = len(words)
@@ -100,7 +101,7 @@ class SpamFinder:
     ``least`` share of words in lists.
 
     Defined results: null texts and texts without words are no spam; documents of no known language
-    form one group; a group of equal points has no outlier but those unequal to it; repeated ids are
+    are measured against those of all languages; a group of equal points has no outlier but those unequal to it; repeated ids are
     judged apart and given once; null ids are ignored; other columns are not read.
     """
 
@@ -151,6 +152,11 @@ class SpamFinder:
         spark = points.sparkSession
         medians = {r["lang"]: np.array([r[f"m{i}"] for i in range(k)]) for r in
                    points.groupBy("lang").agg(*[F.percentile_approx(c, 0.5, 10000).alias(f"m{i}") for i, c in enumerate(FEATURES)]).collect()}
+        # Documents of no known language are mostly spam themselves: they are measured against the
+        # documents of all known languages, and against each other only if there are no others.
+        known = [lang for lang in medians if lang != "?"]
+        if known and "?" in medians:
+            medians["?"] = np.median([medians[lang] for lang in known], axis=0)
         model = {lang: (m, np.eye(k) / 0.05**2) for lang, m in medians.items()}
         for _ in range(2):
             scored = self._scored(points, model)
@@ -162,13 +168,16 @@ class SpamFinder:
             moments = near.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)],
                                                *[F.sum(F.col(a) * F.col(b)).alias(f"q{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if j >= i])
             model = {}
-            for r in moments.collect():  # one row per language
-                n = r["n"]
-                mean = np.array([r[f"s{i}"] for i in range(k)]) / n
-                cov = np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n - np.outer(mean, mean)
+            sums = {r["lang"]: (r["n"], np.array([r[f"s{i}"] for i in range(k)]),
+                                np.array([[r[f"q{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])) for r in moments.collect()}
+            if known and "?" in sums:
+                sums["?"] = tuple(sum(sums[lang][part] for lang in known) for part in range(3))
+            for lang, (n, first, second) in sums.items():
+                mean = first / n
+                cov = second / n - np.outer(mean, mean)
                 # The nearest half understates the scatter (2.2 makes up for it with five normal
                 # features), and a feature that never varies gets a floor.
-                model[r["lang"]] = (mean, np.linalg.inv(2.2 * cov + 0.03**2 * np.eye(k)))
+                model[lang] = (mean, np.linalg.inv(2.2 * cov + 0.03**2 * np.eye(k)))
         return self._scored(points, model)
 
     @staticmethod
