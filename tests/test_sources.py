@@ -54,9 +54,9 @@ def test_sitemap_and_domains(spark):
     known = spark.createDataFrame([("known.com",)], "domain string")
     found = [(r["domain"], r["priority"], r["depth"]) for r in seeds.ranked_domains(lines, known, 10).collect()]
     assert found == [("science.edu", "high", 3), ("blog.example.org", "high", 3)]
-    entries = spark.createDataFrame([("*.a.dev\nb.dev", "a.dev"), (None, "a.dev")], "name_value string, common_name string")
+    entries = spark.createDataFrame([("*.alpha.dev\nbeta.dev", "alpha.dev"), (None, "alpha.dev")], "name_value string, common_name string")
     found = [(r["domain"], r["n"]) for r in seeds.certificate_domains(entries, known, 10).collect()]
-    assert found[0] == ("a.dev", 3)
+    assert found[0] == ("alpha.dev", 3)
     stories = spark.createDataFrame([(1, "https://www.x.io/1"), (2, "https://x.io/2"), (3, "https://known.com/")], "pos int, url string")
     assert [(r["domain"], r["n"], r["url"]) for r in seeds.story_domains(stories, known, 5).collect()] == [("x.io", 2, "https://www.x.io/1")]
 
