@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,11 +23,12 @@ from tidemark.session import materialize
 
 _WORD = re.compile(r"[^\W_]+")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?\b")
+_DOT = re.compile(r"[^\W\d_]\.[^\W\d_]")
 _STOP = re.compile(r"(?<=[.!?…])\s+")
 FEATURES = ["density", "sameness", "repetition", "bareness", "links"]
 
 
-def repeated(words: list[str], function: frozenset[str] | set[str]) -> list[bool]:
+def repeated(words: list[str], function: Container[str]) -> list[bool]:
     """For each word whether it stands in a phrase repeated over and over.
 
     That is a run of at least five occurrences of a pair of words, not both function words, with at
@@ -55,41 +56,51 @@ def repeated(words: list[str], function: frozenset[str] | set[str]) -> list[bool
     return inside
 
 
-def features(text: str | None, function: dict[str, frozenset[str]], every: frozenset[str]) -> tuple | None:
-    """(language, the five features, share of words in lists or repetition), or null without words."""
+def features(text: str | None, function: dict[str, tuple[str, ...]]) -> tuple | None:
+    """(language, the five features, share of words in lists or repetition), or null without words.
+
+    ``function`` has the languages of each function word.
+    """
     if not text:
         return None
     words, listed, linked = [], [], 0
-    for line in text.split("\n"):
-        links = _LINK.findall(line) if "." in line else []
+    is_function = function.__contains__
+    for line in text.lower().split("\n"):
+        links = _LINK.findall(line) if _DOT.search(line) else []
         inside = sum(len(_WORD.findall(x)) for x in links)
         linked += inside
         rest = _WORD.findall(_LINK.sub(" ", line)) if links else None
         # An address with a few words about it is an entry of a link list.
         if links and inside >= 3 * len(links) and len(rest) <= 12 * len(links):
-            own = _WORD.findall(line.lower())
+            own = _WORD.findall(line)
             words += own
             listed += [True] * len(own)
             continue
         for piece in _STOP.split(line):
-            own = _WORD.findall(piece.lower())
+            own = _WORD.findall(piece)
             if own:
                 # What doesn't end like a sentence needs more function words to count as one.
-                bare = sum(w in every for w in own) < (0.15 if piece.rstrip()[-1:] in ".!?…" else 0.3) * len(own)
+                bare = sum(map(is_function, own)) < (0.15 if piece.rstrip()[-1:] in ".!?…" else 0.3) * len(own)
                 words += own
                 listed += [bare] * len(own)
     n = len(words)
     if not n:
         return None
-    again = repeated(words, every)
+    again = repeated(words, function)
     counts = Counter(words)
-    hits = {code: sum(c for w, c in counts.items() if w in own) for code, own in function.items()}
+    hits: Counter = Counter()
+    functions = 0
+    for word in filter(is_function, counts):
+        c = counts[word]
+        functions += c
+        for code in function[word]:
+            hits[code] += c
     code = max(hits, key=lambda x: (hits[x], x)) if hits else "?"
     if not hits or hits[code] < 0.05 * n:
         code = "?"
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
+    entropy = (math.log(n) - sum([c * math.log(c) for c in counts.values() if c > 1]) / n) / math.log(n) if n > 1 else 1.0
     share = sum(a or b for a, b in zip(listed, again)) / n
-    return code, sum(listed) / n, 1 - entropy, sum(again) / n, 1 - sum(c for w, c in counts.items() if w in every) / n, linked / n, share
+    return code, sum(listed) / n, 1 - entropy, sum(again) / n, 1 - functions / n, linked / n, share
 
 
 class SpamFinder:
@@ -134,13 +145,16 @@ class SpamFinder:
     def points(self, docs: DataFrame) -> DataFrame:
         """(doc_id, lang, five features, share)."""
         function = self.function_words(docs)
-        every = frozenset().union(*function.values()) if function else frozenset()
-        shared = docs.sparkSession.sparkContext.broadcast((function, every))
+        languages: dict[str, tuple[str, ...]] = {}
+        for code in sorted(function):
+            for word in function[code]:
+                languages[word] = (*languages.get(word, ()), code)
+        shared = docs.sparkSession.sparkContext.broadcast(languages)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, all_words = shared.value
+            known = shared.value
             for batch in batches:
-                out = [(i, *f) for i, text in zip(batch["doc_id"], batch["text"]) if (f := features(text, own, all_words))]
+                out = [(i, *f) for i, text in zip(batch["doc_id"], batch["text"]) if (f := features(text, known))]
                 yield pd.DataFrame(out, columns=["doc_id", "lang", *FEATURES, "share"])
 
         schema = "doc_id long, lang string, " + ", ".join(f"{c} double" for c in FEATURES) + ", share double"
