@@ -1,7 +1,7 @@
 """Evaluation texts inside training texts (problem 8).
 
-Rare n-grams of the items are the seeds: in each window of ``min_run`` words of an item the n-gram
-that the corpus and the items hold least often. Documents meet items at seeds only, and a
+Rare n-grams of the items are the seeds: in each window of ``min_run`` words of an item of the
+n-grams that the corpus has the one that it and the items hold least often. Documents meet items at seeds only, and a
 Smith-Waterman alignment around the seeds scores exact, partial and edited copies. Every run of
 ``min_run`` common words contains a seed, so no such copy is missed.
 """
@@ -95,9 +95,10 @@ class LeakFinder:
             yield pd.DataFrame({"at": at, "n": total[at]})
 
         seen = docs.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-        rarity = in_items.astype(np.int64)
+        # An n-gram that the corpus lacks can't lead anywhere: the rarest of those it has is taken.
+        rarity = np.full(len(all_grams), np.iinfo(np.int64).max)
         for at, k in seen.collect():  # at most one row per n-gram of the block
-            rarity[at] += k
+            rarity[at] = k + in_items[at]
         chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
         width = self.min_run - self.n + 1
         for item, g in enumerate(own):
@@ -105,7 +106,8 @@ class LeakFinder:
             rare = rarity[at]
             starts = range(max(1, len(g) - width + 1))
             for place in sorted({s + int(rare[s : s + width].argmin()) for s in starts}):
-                chosen[int(at[place])].append((item, place))
+                if rare[place] < np.iinfo(np.int64).max:
+                    chosen[int(at[place])].append((item, place))
         order = sorted(chosen)
         return all_grams[order], [chosen[k] for k in order]
 
