@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,39 +83,39 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return top_k(vectors.where(F.size(vector) == len(query)).select(key, dot(F.col(vector), target).alias("score")), k, key)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256, key: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
-    """(query, key, score): k nearest for each of a stated set of query vectors, in blocks of ``block`` queries.
+def _block_search(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, targets = shared.value
+        scores, keys = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+        for batch in batches:
+            if len(batch):
+                own = targets @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
+                scores = np.concatenate([scores, own], axis=1)
+                keys = np.concatenate([keys, np.broadcast_to(batch["k"].to_numpy(), own.shape)], axis=1)
+                order = np.lexsort((keys, -scores), axis=1)[:, :k]
+                scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+        yield pd.DataFrame({"q": np.repeat(ids, scores.shape[1]), "k": keys.ravel(), "score": scores.ravel()})
 
-    A block is broadcast (``block`` rows by its limit); a partition keeps k rows a query before the shuffle.
-    """
-    import numpy as np
-    import pandas as pd
+    return run
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048, key: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
+    """(query, key, score): k nearest for each of a stated set of query vectors of one length.
 
-    rows = [(r[0], r[1]) for r in queries.select(query, vector).where(F.col(vector).isNotNull()).collect()]  # a stated set
+    The set is cut by hash into blocks of about ``block`` queries; a block at a time reaches the
+    driver and is broadcast, and each partition of the vectors keeps k rows a query before the shuffle.
+    """
     spark, out = vectors.sparkSession, None
-    for at in range(0, max(len(rows), 1), block):
-        part = rows[at : at + block]
+    asked = queries.where(F.col(query).isNotNull() & F.col(vector).isNotNull())
+    blocks = max(1, -(-asked.count() // block))
+    for at in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == at).select(query, vector).collect()
         if not part:
-            break
-        ids = [r[0] for r in part]
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in part], np.float64)))
+            continue
         size = len(part[0][1])
-
-        def run(batches, shared=shared, size=size):
-            ids, targets = shared.value
-            best_s, best_k = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                scores = targets @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-                best_s = np.concatenate([best_s, scores], axis=1)
-                best_k = np.concatenate([best_k, np.broadcast_to(batch["k"].to_numpy(), scores.shape)], axis=1)
-                order = np.lexsort((best_k, -best_s), axis=1)[:, :k]
-                best_s, best_k = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_k, order, 1)
-            n = best_s.shape[1]
-            yield pd.DataFrame({"q": np.repeat(ids, n), "k": best_k.ravel(), "score": best_s.ravel()})
-
-        near = vectors.where(F.size(vector) == size).select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, "q long, k long, score double")
+        shared = spark.sparkContext.broadcast(([r[0] for r in part], np.array([r[1] for r in part], np.float64)))
+        rows = vectors.where(F.size(vector) == size).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+        near = rows.mapInPandas(_block_search(shared, k), "q long, k long, score double")
         out = near if out is None else out.unionByName(near)
     if out is None:
         return spark.createDataFrame([], f"{query} long, {key} long, score double")
