@@ -131,3 +131,52 @@ def test_nulls(spark):
     found = rows.select(text.admitted(F.col("title"), F.col("body")).alias("a"), F.size(text.tokens(F.col("body"))).alias("n"),
                         urls.is_junk(F.col("title"), F.col("body")).alias("j"), urls.is_homepage(F.col("title")).alias("h")).first()
     assert (found["a"], found["n"], found["j"], found["h"]) == (False, 0, False, False)
+
+
+@pytest.mark.parametrize("body,tokens,out", [
+    ("the Harbour map", ["harbour", "map"], "the <mark>Harbour</mark> <mark>map</mark>"), ("mapmap", ["map"], "<mark>mapmap</mark>"), ("abcd", ["abc", "cd"], "<mark>abcd</mark>"),
+    ("xmap", ["map"], "x<mark>map</mark>"), ("map", ["map"], "<mark>map</mark>"), ("", ["a"], ""), ("none here", ["zzz"], "none here"), ("ma map", ["map"], "ma <mark>map</mark>"),
+])
+def test_highlight_all(spark, body, tokens, out):
+    assert one(spark, text.highlight_all(F.col("b"), tokens), b=body) == out
+
+
+def test_stop_word_language(spark):
+    found = [one(spark, text.stop_word_language(F.lit(t))) for t in ("the cat and the dog", "der Hund und die Katze", "xyz", " ")]
+    assert found == ["en", "de", "und", None]
+
+
+def test_hash_embedding(spark):
+    a, b, c = (one(spark, se.hash_embedding(F.lit(t), 32)) for t in ("x", "x", "y"))
+    assert a == b != c and abs(sum(x * x for x in a) - 1) < 1e-9 and len(a) == 32
+
+
+def test_lsh_recall(spark):
+    from pyspark.sql import Row
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        v = [rng.gauss(0, 1) for _ in range(8)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append(Row(vec_id=k, embedding=[x / n for x in v]))
+    df = spark.createDataFrame(rows)
+    hits = 0
+    for q in range(0, 400, 50):
+        true = {r["vec_id"] for r in se.nearest(df, rows[q].embedding, 5).collect()}
+        hits += len(true & {r["vec_id"] for r in se.nearest_lsh(df, rows[q].embedding, 5).collect()})
+    assert hits / 40 >= 0.9
+
+
+def test_config(tmp_path):
+    from tidemark import config
+
+    path = tmp_path / "c.json"
+    path.write_text('{"dimensions": 64, "crawler": {"max_depth": 1, "other": 2}, "unknown": 1}')
+    found = config.load(str(path))
+    assert found.dimensions == 64 and found.crawler.max_depth == 1 and found.storage.max_gb == 35.0
+    path.write_text("{")
+    with pytest.warns(UserWarning):
+        assert config.load(str(path)) == config.Config()
+    assert config.load(str(tmp_path / "none")) == config.Config()
+    assert [config.storage_state(int(gb * 1024**3), found.storage) for gb in (1, 31, 40)] == ["ok", "warn", "stop"]

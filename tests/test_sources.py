@@ -57,8 +57,8 @@ def test_sitemap_and_domains(spark):
     entries = spark.createDataFrame([("*.alpha.dev\nbeta.dev", "alpha.dev"), (None, "alpha.dev")], "name_value string, common_name string")
     found = [(r["domain"], r["n"]) for r in seeds.certificate_domains(entries, known, 10).collect()]
     assert found[0] == ("alpha.dev", 3)
-    stories = spark.createDataFrame([(1, "https://www.x.io/1"), (2, "https://x.io/2"), (3, "https://known.com/")], "pos int, url string")
-    assert [(r["domain"], r["n"], r["url"]) for r in seeds.story_domains(stories, known, 5).collect()] == [("x.io", 2, "https://www.x.io/1")]
+    stories = spark.createDataFrame([(1, "https://www.xylo.io/1"), (2, "https://xylo.io/2"), (3, "https://known.com/")], "pos int, url string")
+    assert [(r["domain"], r["n"], r["url"]) for r in seeds.story_domains(stories, known, 5).collect()] == [("xylo.io", 2, "https://www.xylo.io/1")]
 
 
 def test_robots(spark):
@@ -77,3 +77,13 @@ def test_frontier(spark):
     known = spark.createDataFrame([("https://s.example/k",)], "url string")
     found = {(r["url"][-1], r["depth"]) for r in crawl.frontier(start, graph, known).collect()}
     assert found == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_seed_tables(spark):
+    ids = spark.createDataFrame([("[5, 3, 9]",), ("[3, 1]",), ("bad",), (None,)], "json string")
+    assert [r[0] for r in seeds.story_ids(ids, 3).collect()] == [1, 3, 5]
+    table = spark.createDataFrame([("a",), ("b",)], "url string")
+    more = seeds.append_seed(table, spark.createDataFrame([("b",), ("c",)], "url string"))
+    assert sorted(r[0] for r in more.collect()) == ["a", "b", "c"]
+    assert [r[0] for r in seeds.remove_seed(table, "a").collect()] == ["b"]
+    assert html.canonical(html.parse("<head><link rel=canonical href='/x'></head>"), "https://a.example/b") == "https://a.example/x"

@@ -127,3 +127,47 @@ def highlight(text: Column, token: str) -> Column:
     """Every occurrence of one token marked, case kept."""
     quoted = "".join("\\" + c if not c.isalnum() else c for c in token)
     return F.regexp_replace(text, f"(?i)((?:{quoted})+)", "<mark>$1</mark>")
+
+
+def highlight_all(text: Column, tokens: list[str]) -> Column:
+    """Every occurrence of any token marked, case kept; marks that overlap or touch are one.
+
+    Overlaps can't be told by one pattern, so each character is marked or not first.
+    """
+    wanted = [t.lower() for t in dict.fromkeys(tokens) if t]
+    if not wanted:
+        return text
+    low = F.lower(text)
+    places = F.sequence(F.lit(1), F.length(text))
+    inside = F.lit(False)
+
+    def covers(place: Column) -> Column:
+        found = inside
+        for token in wanted:
+            start = F.greatest(place - (len(token) - 1), F.lit(1))
+            found = found | F.substring(low, start, F.lit(2 * len(token) - 1) - F.greatest(F.lit(0), F.lit(len(token)) - place)).contains(token)
+        return found
+
+    marked = F.transform(places, lambda p: F.concat(F.when(covers(p), "\u0001").otherwise("\u0002"), F.substring(text, p, F.lit(1))))
+    joined = F.regexp_replace(F.array_join(marked, ""), "(?s)((?:\u0001.)+)", "<mark>$1</mark>")
+    return F.when(F.length(text) > 0, F.regexp_replace(joined, "[\u0001\u0002]", "")).otherwise(text)
+
+
+def stop_word_language(body: Column) -> Column:
+    """A language by votes of its commonest words in the first 500 characters, ``und`` without a vote, null for blank text.
+
+    It stands in for a detector of letter triples where a page states no language.
+    """
+    # Some of the commonest words of each language.
+    common = {
+        "en": "the and of to is that with for", "de": "der die und das nicht ist mit den", "fr": "le les et des est dans une que",
+        "es": "el los y las es una con por", "pt": "o os e uma com não para do", "nl": "het een van en niet met voor zijn", "it": "il di che è per gli con della",
+    }
+    found = words(F.lower(F.substring(body, 1, 500)))
+    votes = F.array(*[F.struct(F.size(F.filter(found, _among(text.split()))).alias("n"), F.lit(code).alias("code")) for code, text in sorted(common.items(), reverse=True)])
+    best = F.array_max(votes)
+    return F.when(F.size(found) == 0, F.lit(None)).when(best["n"] == 0, "und").otherwise(best["code"])
+
+
+def _among(words_: list[str]):
+    return lambda word: word.isin(words_)

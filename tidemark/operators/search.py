@@ -246,3 +246,21 @@ def weighted_fusion(text_hits: DataFrame, near_hits: DataFrame, alpha: float, ke
     return scaled.join(moved, key, "full").select(key, (alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score"))
 
 
+
+
+def hash_embedding(text_column: Column, dims: int = 384) -> Column:
+    """A unit vector that depends on the text only: what stands in for an encoder that isn't there."""
+    raw = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: F.xxhash64(text_column, i) / F.lit(2.0**63))
+    return normalized(raw)
+
+
+def nearest_lsh(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", tables: int = 8, width: float = 0.5) -> DataFrame:
+    """(key, score): about the k nearest, by random projections; for unit vectors, whose distance orders like the dot product."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rows = vectors.where(F.size(vector) == len(query)).select(key, F.col(vector).alias("v"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(rows)
+    near = model.approxNearestNeighbors(rows, Vectors.dense(query), k)
+    return near.select(key, dot(F.col("v"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))

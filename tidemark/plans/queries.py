@@ -319,6 +319,26 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", text.highlight(F.substring("text", 1, 1000), "harbour").alias("marked"))
 
 
+@query("highlight_many")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", text.highlight_all(F.substring("text", 1, 300), ["harbour", "our map", "map"]).alias("marked"))
+
+
+@query("stop_word_language")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", text.stop_word_language(F.col("text")).alias("lang"))
+
+
+@query("hash_embedding")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", rounded(se.l2_norm(se.hash_embedding(F.col("text"), 64))).alias("norm"))
+
+
+@query("ann_lsh")
+def _(s, d):
+    return se.nearest_lsh(read(s, d, "embeddings"), _probe_vector(s, d), 10).withColumn("score", rounded("score"))
+
+
 def _probe_vector(s, d) -> list[float]:
     return [float(x) for x in read(s, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]]
 

@@ -215,6 +215,13 @@ def language(root: Node) -> str | None:
     return None
 
 
+def canonical(root: Node, base: str) -> str | None:
+    for node in root.walk():
+        if node.tag == "link" and node.attrs.get("rel", "").lower() == "canonical" and node.attrs.get("href"):
+            return urljoin(base, node.attrs["href"])
+    return None
+
+
 def homepage_body(url: str, name: str, about: str | None, heads: list[str], body: str) -> str:
     """A homepage of under 100 words gets name, title, description and its first headings before its text."""
     path = re.sub(r"[?#].*", "", re.sub(r"^https?://[^/]*", "", url))

@@ -66,3 +66,17 @@ def story_domains(stories: DataFrame, existing: DataFrame, limit: int) -> DataFr
     rows = rows.where(~urls.is_junk_domain(F.col("domain")))
     rows = rows.join(existing.select(F.regexp_replace(F.lower("domain"), r"^www\.", "").alias("domain")), "domain", "left_anti")
     return (rows.groupBy("domain").agg(F.count("*").alias("n"), F.min_by("url", "pos").alias("url")).orderBy(F.col("n").desc(), "domain").limit(limit))
+
+
+def story_ids(lists: DataFrame, limit: int = 500) -> DataFrame:
+    """(id): the ``limit`` smallest ids of JSON lists of ids (column ``json``), each once."""
+    return lists.select(F.explode(F.from_json("json", "array<long>")).alias("id")).where("id is not null").distinct().orderBy("id").limit(limit)
+
+
+def append_seed(table: DataFrame, added: DataFrame) -> DataFrame:
+    """Seeds with those of ``added`` whose address isn't there yet."""
+    return table.unionByName(added.join(table.select("url"), "url", "left_anti").select(*table.columns))
+
+
+def remove_seed(table: DataFrame, url: str) -> DataFrame:
+    return table.where(F.col("url") != url)
