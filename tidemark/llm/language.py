@@ -73,20 +73,24 @@ def sentences(text: str | None) -> list[tuple[int, str, bool]]:
 
 
 class LanguageModel:
-    """Word and n-gram log frequencies per language; ``score`` gives them for a list of words."""
+    """Word and n-gram log frequencies of the languages that have counts; ``score`` adds them up for a text."""
 
     def __init__(self, counts: dict[str, dict[str, float]], languages: list[str]):
+        languages = [x for x in languages if counts.get(x)]
         self.languages = languages
         n = len(languages)
-        total = np.array([sum(counts[x].values()) for x in languages], float) + 1
-        self.words: dict[str, np.ndarray] = {}
+        distinct = len(set().union(*(counts[x] for x in languages))) if languages else 0
+        total = np.array([sum(counts[x].values()) for x in languages], float) + 0.05 * distinct
+        self.words: dict[str, int] = {}
+        scores: list[np.ndarray] = []
         table: dict[str, np.ndarray] = {}
         for k, code in enumerate(languages):
             for word, c in counts[code].items():
                 table.setdefault(word, np.zeros(n))[k] += c
         self.grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(MAX_N + 1)]
         for word, c in table.items():
-            self.words[word] = np.log((c + 0.05) / total)
+            self.words[word] = len(self.words)
+            scores.append(np.log((c + 0.05) / total))
             share = np.sqrt(c / total * total.max())
             padded = f" {word} "
             for size in range(1, MAX_N + 1):
@@ -97,12 +101,10 @@ class LanguageModel:
             sums = sum(self.grams[size].values(), np.zeros(n)) + 1
             self.gram_score.append({g: np.log((c + 0.5) / sums) for g, c in self.grams[size].items()})
         self.grams = []
+        self.scores = np.array(scores) if scores else np.zeros((0, n))
         self.memory: dict[str, np.ndarray] = {}
 
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    def unseen(self, word: str) -> np.ndarray:
         found = self.memory.get(word)
         if found is None:
             if len(self.memory) > 200_000:
@@ -121,12 +123,18 @@ class LanguageModel:
     def score(self, text: str) -> tuple[str | None, float, float]:
         """(language, confidence, share of filler words); the language is null where no word is known."""
         words = [w.lower() for w in WORD.findall(text)]
-        if not words:
+        if not words or not self.languages:
             return None, 0.0, 0.0
         filler = sum(w in FILLER for w in words) / len(words)
-        total = np.sum([self.word(w) for w in words], axis=0)
-        if not any(w in self.words for w in words) and not np.ptp(total):
-            return None, 0.0, filler
+        rows = [self.words.get(w, -1) for w in words]
+        known = [r for r in rows if r >= 0]
+        total = self.scores[known].sum(axis=0)
+        if len(known) < len(rows):
+            for word, row in zip(words, rows):
+                if row < 0:
+                    total = total + self.unseen(word)
+            if not known and not np.ptp(total):
+                return None, 0.0, filler
         p = np.exp((total - total.max()) / math.sqrt(len(words)))
         k = int(total.argmax())
         return self.languages[k], float(p[k] / p.sum()), filler
@@ -169,11 +177,14 @@ class LanguageLabeller:
             for batch in batches:
                 total: dict[str, Counter] = defaultdict(Counter)
                 for text in batch["text"]:
+                    own: dict[str, Counter] = defaultdict(Counter)
                     for _, sentence, whole in sentences(text):
                         if whole:
                             code, sure, filler = model.score(sentence)
                             if code and sure >= least and filler < 0.5:
-                                total[code].update(w.lower() for w in WORD.findall(sentence))
+                                own[code].update(w.lower() for w in WORD.findall(sentence))
+                    for code, counted in own.items():
+                        _add(total[code], counted)
                 yield _frame(total)
 
         counts = materialize(rows.select("text").mapInPandas(recount, "code string, word string, n long")
@@ -239,6 +250,12 @@ def segment_text(model: LanguageModel, text: str | None, least: float) -> list[t
     return [(a, b, code, sure / n, n) for a, b, code, sure, n in out]
 
 
+def _add(total: Counter, own: Counter) -> None:
+    """A document counts a word at most three times: one long text with a wrong label can't outweigh the rest."""
+    for word, n in own.items():
+        total[word] += n if n < 3 else 3
+
+
 def _frame(total: dict[str, Counter]) -> pd.DataFrame:
     rows = [(code, word, n) for code, words in total.items() for word, n in words.items()]
     return pd.DataFrame(rows, columns=["code", "word", "n"])
@@ -248,7 +265,9 @@ def _count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         total: dict[str, Counter] = defaultdict(Counter)
         for code, text in zip(batch["code"], batch["text"]):
+            own: Counter = Counter()
             for _, sentence, whole in sentences(text):
                 if whole:
-                    total[code].update(w.lower() for w in WORD.findall(sentence))
+                    own.update(w.lower() for w in WORD.findall(sentence))
+            _add(total[code], own)
         yield _frame(total)
