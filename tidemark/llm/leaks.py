@@ -96,18 +96,28 @@ class LeakFinder:
 
         seen = docs.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
         # An n-gram that the corpus lacks can't lead anywhere: the rarest of those it has is taken.
-        rarity = np.full(len(all_grams), np.iinfo(np.int64).max)
+        none = np.iinfo(np.int64).max
+        rarity = np.full(len(all_grams), none)
         for at, k in seen.collect():  # at most one row per n-gram of the block
             rarity[at] = k + in_items[at]
         chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
         width = self.min_run - self.n + 1
         for item, g in enumerate(own):
             at = np.searchsorted(all_grams, g)
+            # Where the corpus has every n-gram of a window, it may hold the whole window: the rarest
+            # of them is a seed. Elsewhere only an edited copy is possible, and only an n-gram of this
+            # item alone leads to it; one that many items begin with would lead to all of them.
             rare = rarity[at]
-            starts = range(max(1, len(g) - width + 1))
-            for place in sorted({s + int(rare[s : s + width].argmin()) for s in starts}):
-                if rare[place] < np.iinfo(np.int64).max:
-                    chosen[int(at[place])].append((item, place))
+            own_only = np.where(in_items[at] == 1, rare, none)
+            places = set()
+            for s in range(max(1, len(g) - width + 1)):
+                window = rare[s : s + width]
+                if window.max() == none:
+                    window = own_only[s : s + width]
+                if window.min() < none:
+                    places.add(s + int(window.argmin()))
+            for place in sorted(places):
+                chosen[int(at[place])].append((item, place))
         order = sorted(chosen)
         return all_grams[order], [chosen[k] for k in order]
 
