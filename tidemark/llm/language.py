@@ -8,7 +8,6 @@ the model knows any down to single characters.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,6 +39,8 @@ FILLER = set(
 
 WORD = re.compile(r"[^\W\d_]+")
 _FIELD = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|<<.*?>>|[$#]\{.*?\}|\*\|.*?\|\*|@@\w+@@|__\w+__|%[A-Z_]+%|\[\[.*?\]\]|\{[\w. ]+\}|`[^`]*`|https?://\S+|<[^<>]*>")
+#: Every part of _FIELD begins with or holds one of these.
+_MARK = re.compile(r"[{%<$#*@`\[]|__|://")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
 _CODE = re.compile(r"[{}<>=;_|\\/]")
 MAX_N = 4
@@ -61,7 +62,7 @@ def sentences(text: str | None) -> list[tuple[int, str, bool]]:
     if not text:
         return out
     for number, line in enumerate(re.split(r"\r\n?|\n", text)):
-        line = _FIELD.sub(" ", line).strip()
+        line = (_FIELD.sub(" ", line) if _MARK.search(line) else line).strip()
         if not line:
             continue
         for piece in _END.split(line):
@@ -101,7 +102,8 @@ class LanguageModel:
             sums = sum(self.grams[size].values(), np.zeros(n)) + 1
             self.gram_score.append({g: np.log((c + 0.5) / sums) for g, c in self.grams[size].items()})
         self.grams = []
-        self.scores = np.array(scores) if scores else np.zeros((0, n))
+        # The last row, at -1, stands for unseen words and adds nothing.
+        self.scores = np.array([*scores, np.zeros(n)])
         self.memory: dict[str, np.ndarray] = {}
 
     def unseen(self, word: str) -> np.ndarray:
@@ -120,24 +122,35 @@ class LanguageModel:
             self.memory[word] = found
         return found
 
+    def score_all(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """(language, confidence, share of filler words) of each text; the language is null where no word is known."""
+        split = [WORD.findall(text.lower()) for text in texts]
+        at = [k for k, words in enumerate(split) if words]
+        out: list[tuple[str | None, float, float]] = [(None, 0.0, 0.0)] * len(texts)
+        if not at or not self.languages:
+            return out
+        starts, rows = [], []
+        row = self.words.get
+        for k in at:
+            starts.append(len(rows))
+            rows += [row(w, -1) for w in split[k]]
+        total = np.add.reduceat(self.scores[rows], starts, axis=0)
+        if -1 in rows:
+            for i, k in enumerate(at):
+                for word in split[k]:
+                    if word not in self.words:
+                        total[i] += self.unseen(word)
+        sizes = np.array([len(split[k]) for k in at], float)
+        p = np.exp((total - total.max(axis=1, keepdims=True)) / np.sqrt(sizes)[:, None])
+        best, sure = total.argmax(axis=1), p.max(axis=1) / p.sum(axis=1)
+        flat = np.ptp(total, axis=1) == 0
+        for i, k in enumerate(at):
+            filler = sum(map(FILLER.__contains__, split[k])) / len(split[k])
+            out[k] = (None, 0.0, filler) if flat[i] and len(self.languages) > 1 else (self.languages[best[i]], float(sure[i]), filler)
+        return out
+
     def score(self, text: str) -> tuple[str | None, float, float]:
-        """(language, confidence, share of filler words); the language is null where no word is known."""
-        words = [w.lower() for w in WORD.findall(text)]
-        if not words or not self.languages:
-            return None, 0.0, 0.0
-        filler = sum(w in FILLER for w in words) / len(words)
-        rows = [self.words.get(w, -1) for w in words]
-        known = [r for r in rows if r >= 0]
-        total = self.scores[known].sum(axis=0)
-        if len(known) < len(rows):
-            for word, row in zip(words, rows):
-                if row < 0:
-                    total = total + self.unseen(word)
-            if not known and not np.ptp(total):
-                return None, 0.0, filler
-        p = np.exp((total - total.max()) / math.sqrt(len(words)))
-        k = int(total.argmax())
-        return self.languages[k], float(p[k] / p.sum()), filler
+        return self.score_all([text])[0]
 
 
 class LanguageLabeller:
@@ -178,11 +191,10 @@ class LanguageLabeller:
                 total: dict[str, Counter] = defaultdict(Counter)
                 for text in batch["text"]:
                     own: dict[str, Counter] = defaultdict(Counter)
-                    for _, sentence, whole in sentences(text):
-                        if whole:
-                            code, sure, filler = model.score(sentence)
-                            if code and sure >= least and filler < 0.5:
-                                own[code].update(w.lower() for w in WORD.findall(sentence))
+                    whole = [sentence for _, sentence, good in sentences(text) if good]
+                    for sentence, (code, sure, filler) in zip(whole, model.score_all(whole)):
+                        if code and sure >= least and filler < 0.5:
+                            own[code].update(WORD.findall(sentence.lower()))
                     for code, counted in own.items():
                         _add(total[code], counted)
                 yield _frame(total)
@@ -234,11 +246,13 @@ def segment_text(model: LanguageModel, text: str | None, least: float) -> list[t
     """(first line, last line, language, confidence, whole sentences) of each run of one language."""
     out: list[tuple[int, int, str, float, int]] = []
     now: list | None = None
-    for line, sentence, whole in sentences(text):
+    pieces = sentences(text)
+    scores = iter(model.score_all([sentence for _, sentence, whole in pieces if whole]))
+    for line, sentence, whole in pieces:
         if not whole:
             now = None  # a heading or a fragment: the next sentence isn't in a row with the last
             continue
-        code, sure, filler = model.score(sentence)
+        code, sure, filler = next(scores)
         if not code or sure < least or filler >= 0.5 or len(_CODE.findall(sentence)) > 0.08 * len(sentence):
             now = None
             continue
@@ -268,6 +282,6 @@ def _count_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own: Counter = Counter()
             for _, sentence, whole in sentences(text):
                 if whole:
-                    own.update(w.lower() for w in WORD.findall(sentence))
+                    own.update(WORD.findall(sentence.lower()))
             _add(total[code], own)
         yield _frame(total)
