@@ -46,6 +46,22 @@ def test_no_paragraph_no_body():
     assert main_lines(None) == [] and main_lines("") == [] and main_lines("\n\n") == []
 
 
+P = [f"<p>Paragraph {k} of this article says what the harbour office keeps in its archive.</p>" for k in range(6)]
+
+
+def test_nothing_whole_is_discarded():
+    """Pages without elements, wrapped, split, with a share button, with a row of links; and lines beyond a dive."""
+    said = lambda source: [x for x in texts(source) if x.startswith("Paragraph")]
+    assert len(said("<body>\n<h1>Head</h1>\n" + "\n".join(P) + "\n</body>")) == 6
+    assert len(said("<body><div>\n<h1>Head</h1>\n" + "\n".join(P[:3]) + "\n<button>Share</button>\n" + "\n".join(P[3:]) + "\n</div></body>")) == 6
+    row = '<p><a href="/1">Home</a> <a href="/2">News</a> <a href="/3">About us</a></p>'
+    assert len(said("<body><div>\n<h1>Head</h1>\n" + row + "\n" + "\n".join(P) + "\n</div></body>")) == 6
+    assert len(said("<body>\n<div>\n<h1>Head</h1>\n" + "\n".join(P[:3]) + "\n</div>\n<div>\n" + "\n".join(P[3:]) + "\n</div>\n</body>")) == 6
+    wrapped = "<body><div>\n<nav>\n" + row + "\n</nav>\n<div>\n<h1>Head</h1>\n" + "\n".join(P) + "\n</div>\n<footer>\n<p>All rights are reserved by the publisher of this site.</p>\n</footer>\n</div></body>"
+    assert len(said(wrapped)) == 6 and len(texts(wrapped)) == 7
+    assert "Filed" not in texts("<body><div>\n<h1>Head</h1>\n" + "\n".join(P) + "\n\n\n\n<p>Filed</p>\n\n\n\n</div></body>")
+
+
 def test_blocks():
     assert blocks([0, 0, 30, 40, 0, 5, 0, 0, 0, 60]) == [(2, 5), (9, 9)]
     assert blocks([]) == [] and blocks([3, 2, 1]) == []

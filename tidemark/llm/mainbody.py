@@ -2,9 +2,11 @@
 
 Line-block distribution: markup is stripped line by line, the text lengths outside links are summed
 over sliding windows of lines, and the text between a surge and a dive of that curve is a block. A
-block can't run over the edge of one of the page's top-level elements, for markup tells safely that
-the text before and after such an edge has different homes. The heaviest block that doesn't look like
-a menu, a teaser column, a notice or a discussion is the main body.
+block can't run over the edge of one of the page's top-level elements (or of those inside, where one
+wraps the page), for markup tells safely that the text before and after such an edge has different
+homes; lines in no element are an element each run. The heaviest block that doesn't look like a menu,
+a teaser column, a notice or a discussion is the main body, with the other blocks of its element and
+with the heavy blocks of neighbours that go on with it.
 """
 
 from __future__ import annotations
@@ -35,8 +37,11 @@ class Line:
 
 
 class Page:
-    def __init__(self, source: str):
-        """One pass over the tokens of ``source``; unclosed paragraphs and stray closing tags do no harm."""
+    def __init__(self, source: str, level: int = 0):
+        """One pass over the tokens of ``source``; unclosed paragraphs and stray closing tags do no harm.
+
+        ``level``: how many elements wrap those that are told apart.
+        """
         n = source.count("\n") + 1
         self.lines = [Line() for _ in range(n)]
         self.kinds: dict[int, set[str]] = {0: set()}
@@ -60,7 +65,7 @@ class Page:
                             if not line.text:
                                 line.bold, line.leads = bool(bold), bool(link)
                             line.text.append(piece)
-                            line.box = boxes if stack else 0
+                            line.box = boxes if len(stack) > level else 0
                             if link:
                                 line.linked += len(piece.strip())
                 else:
@@ -76,7 +81,7 @@ class Page:
             if name in _SKIP:
                 if not closing:
                     skip = name
-                    if stack:
+                    if len(stack) > level:
                         self.kinds[boxes].add(name)
                 continue
             if name == "a":
@@ -86,7 +91,7 @@ class Page:
                 bold = 0 if closing else 1
             elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 self.lines[here].head = True
-                if stack and not closing:
+                if len(stack) > level and not closing:
                     self.kinds[boxes].add(name)
             elif name in ("br", "hr", "p", "li", "td", "tr") and not closing:
                 link = 0
@@ -94,10 +99,10 @@ class Page:
                     self.lines[here].text.append(" ")
             if name in _BOX:
                 if not closing:
-                    if not stack:
+                    if len(stack) == level:
                         boxes += 1
                         self.kinds[boxes], self.opened[boxes] = {name}, here
-                    elif name in _APART:
+                    elif len(stack) > level and name in _APART:
                         self.kinds[boxes].add("has " + name)
                     stack.append(name)
                 elif name in stack:
@@ -128,41 +133,76 @@ def _linked(line: Line) -> bool:
     return bool(line.text) and line.links > 0 and len(line.text) - line.linked < max(10, 0.1 * len(line.text)) and not _STOP.search(line.text)
 
 
+def _elements(page: Page) -> list[tuple[int, list[int]]]:
+    """(element, its lines) in order of their first lines; element 0 once for each run of lines that stand in none."""
+    out: list[tuple[int, list[int]]] = []
+    at: dict[int, list[int]] = {}
+    last = -1
+    for k, line in enumerate(page.lines):
+        if line.text:
+            if line.box and line.box in at:
+                at[line.box].append(k)
+            elif line.box == 0 and last == 0:
+                out[-1][1].append(k)
+            else:
+                out.append((line.box, [k]))
+                at[line.box] = out[-1][1]
+            last = line.box
+    return out
+
+
 def main_lines(source: str | None, page: Page | None = None, window: int = 3, surge: int = 25) -> list[int]:
     """Numbers of the lines of ``source`` that hold the main body; none if there is no real paragraph."""
     if not source:
         return []
     page = page or Page(source)
-    boxes: dict[int, list[int]] = {}
-    for k, line in enumerate(page.lines):
-        if line.text and line.box:
-            boxes.setdefault(line.box, []).append(k)
-    best, best_weight = [], 0.0
-    for box, rows in boxes.items():
-        kinds = page.kinds[box]
-        if kinds & _APART or "button" in kinds:
+    level, elements = 0, _elements(page)
+    # One element with a menu, a side column or a footer inside wraps the page: those inside it are told apart.
+    while len(elements) == 1 and elements[0][0] and level < 8 and any(kind.startswith("has ") for kind in page.kinds[elements[0][0]]):
+        level += 1
+        page = Page(source, level)
+        elements = _elements(page)
+    # Each element's place, headline, weight and lines.
+    heavy: list[tuple[int, bool, float, list[int]]] = []
+    for place, (box, rows) in enumerate(elements):
+        kinds = page.kinds[box] if box else set()
+        if kinds & _APART:
             continue
         lines = [page.lines[k] for k in rows]
         linked = [_linked(line) for line in lines]
-        headline = "h1" in kinds
+        headline = "h1" in kinds if box else any(line.head for line in lines)
         teasers = sum(a or line.leads for a, line in zip(linked, lines))
         spoken = sum(line.bold and bool(_SPEAKER.match(line.text)) for line in lines)
-        if any(line.links >= 3 and _linked(line) for line in lines):
-            continue
         if not headline and (teasers * 2 >= len(lines) or spoken * 2 >= len(lines) or kinds & {"h3", "h4"} and teasers):
             continue
         first, last = rows[0], rows[-1]
         lengths = [0 if _linked(page.lines[k]) or page.lines[k].box != box else len(page.lines[k].text) for k in range(first, last + 1)]
-        # One line that opens and closes its element itself is a loose paragraph, not a body.
-        if len(rows) == 1 and page.opened[box] == rows[0]:
+        full = [n >= 40 and bool(_STOP.search(page.lines[first + k].text)) for k, n in enumerate(lengths)]
+        # A notice is a paragraph or two with a button or in no element, a footer one or two with a row of links.
+        if not headline and sum(full) < 3 and (not box or "button" in kinds or any(line.links >= 3 and a for a, line in zip(linked, lines))):
             continue
+        # One line that opens and closes its element itself, or stands in none, is a loose paragraph, not a body.
+        if len(rows) == 1 and (not box or page.opened[box] == rows[0]):
+            continue
+        weight, kept = 0.0, []
         for a, b in blocks(lengths, window, surge):
-            weight = sum(n for n in lengths[a : b + 1] if n >= surge) * (4.0 if headline else 1.0)
-            real = any(lengths[k] >= 40 and _STOP.search(page.lines[first + k].text) for k in range(a, b + 1))
-            if real and weight > best_weight:
-                best_weight = weight
-                best = [first + k for k in range(len(lengths)) if lengths[k]]
-    return best
+            kept += [first + k for k in range(a, b + 1) if lengths[k]]
+            if any(full[a : b + 1]):
+                weight = max(weight, sum(n for n in lengths[a : b + 1] if n >= surge) * (4.0 if headline else 1.0))
+        if weight:
+            heavy.append((place, headline, weight, kept))
+    if not heavy:
+        return []
+    # Loose lines without a headline are furniture beside an element with real paragraphs, and the body where there is none.
+    heavy = [x for x in heavy if elements[x[0]][0] or x[1]] or heavy
+    best = max(range(len(heavy)), key=lambda k: (heavy[k][2], -k))
+    place, headline, weight, out = heavy[best]
+    # What follows a headline's element at once and is heavy too goes on with the article.
+    for step, more in zip(range(1, len(heavy)), heavy[best + 1 :]):
+        if not headline or not elements[more[0]][0] or more[0] != place + step or more[1] or more[2] * 8 < weight:
+            break
+        out = out + more[3]
+    return sorted(out)
 
 
 class MainBody:
