@@ -73,6 +73,17 @@ def test_edited_copy_is_scored(spark):
     assert len(found) == 1 and found[0]["run"] == 6 and 0.8 < found[0]["score"] < 1
 
 
+def test_edited_copies_of_revised_items(spark):
+    """An edited copy of what two items share is found, whatever else the corpus holds and however items are blocked."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    items = [(7, item, ""), (8, item.replace("nu xi", "rho sigma"), "")]
+    edited = "x y alpha beta gamma delta epsilon zeta new eta theta iota lambda mu nu xi z"
+    docs = [(1, edited, "", 0), (2, "alpha beta gamma delta stop", "", 0)]
+    key = lambda d, **k: {(r["doc_id"], r["item_id"]) for r in LeakFinder(**k).find(spark.createDataFrame(d, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert key(docs) == {(1, 7), (1, 8)} == key(docs, block_words=10)
+    assert key([*docs, (3, item, "", 0)]) == {(1, 7), (1, 8), (3, 7), (3, 8)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=14), st.lists(st.integers(0, 3), max_size=20))
 def test_alignment(a, b):

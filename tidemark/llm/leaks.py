@@ -1,14 +1,15 @@
 """Evaluation texts inside training texts (problem 8).
 
-Rare n-grams of the items are the seeds: in each window of ``min_run`` words of an item of the
-n-grams that the corpus has the one that it and the items hold least often. Documents meet items at seeds only, and a
-Smith-Waterman alignment around the seeds scores exact, partial and edited copies. Every run of
-``min_run`` common words contains a seed, so no such copy is missed.
+All n-grams of the items are seeds, in however many items they stand: any of them may be the one that
+an edited copy kept. Documents meet items at seeds only. A pair that chained seeds and common words
+show to reach neither run nor score is left out, and a Smith-Waterman alignment around the seeds
+scores the exact, partial and edited copies that are left. Every run of ``min_run`` common words
+contains a seed, so no such copy is missed.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,49 +78,15 @@ class LeakFinder:
             if same:
                 yield [(sorted(set(ids)), numbers) for ids, numbers in same.values()]
 
-    def _seeds(self, docs: DataFrame, block: list[tuple[list[int], np.ndarray]]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """The sorted seeds, and the (item, place) pairs of each."""
+    def _seeds(self, block: list[tuple[list[int], np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted seeds, where the pairs of each begin, and the items and the places of the pairs."""
         own = [grams(numbers, self.n) for _, numbers in block]
-        all_grams, in_items = np.unique(np.concatenate(own), return_counts=True)
-        shared = docs.sparkSession.sparkContext.broadcast(all_grams)
-        n = self.n
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            words, among = WordNumbers(), shared.value
-            total = np.zeros(len(among), np.int64)
-            for batch in batches:
-                for text in batch["text"]:
-                    at = _present(grams(words.of(text), n), among)
-                    np.add.at(total, at[at >= 0], 1)
-            at = np.flatnonzero(total)
-            yield pd.DataFrame({"at": at, "n": total[at]})
-
-        seen = docs.select("text").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-        # An n-gram that the corpus lacks can't lead anywhere: the rarest of those it has is taken.
-        none = np.iinfo(np.int64).max
-        rarity = np.full(len(all_grams), none)
-        for at, k in seen.collect():  # at most one row per n-gram of the block
-            rarity[at] = k + in_items[at]
-        chosen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        width = self.min_run - self.n + 1
-        for item, g in enumerate(own):
-            at = np.searchsorted(all_grams, g)
-            # Where the corpus has every n-gram of a window, it may hold the whole window: the rarest
-            # of them is a seed. Elsewhere only an edited copy is possible, and only an n-gram of this
-            # item alone leads to it; one that many items begin with would lead to all of them.
-            rare = rarity[at]
-            own_only = np.where(in_items[at] == 1, rare, none)
-            places = set()
-            for s in range(max(1, len(g) - width + 1)):
-                window = rare[s : s + width]
-                if window.max() == none:
-                    window = own_only[s : s + width]
-                if window.min() < none:
-                    places.add(s + int(window.argmin()))
-            for place in sorted(places):
-                chosen[int(at[place])].append((item, place))
-        order = sorted(chosen)
-        return all_grams[order], [chosen[k] for k in order]
+        every = np.concatenate(own)
+        order = np.argsort(every, kind="stable")
+        seeds, starts = np.unique(every[order], return_index=True)
+        items = np.repeat(np.arange(len(own), dtype=np.int32), [len(g) for g in own])[order]
+        places = np.concatenate([np.arange(len(g), dtype=np.int32) for g in own])[order]
+        return seeds, np.append(starts, len(every)), items, places
 
     def find(self, documents: DataFrame, items: DataFrame) -> DataFrame:
         """(doc_id, item_id, score, run, first_word, last_word): the leaks.
@@ -132,8 +99,7 @@ class LeakFinder:
         items = items.select("item_id", "text").where("item_id is not null and text is not null")
         spark, parts = documents.sparkSession, []
         for block in self._blocks(items):
-            seeds, places = self._seeds(docs, block)
-            shared = spark.sparkContext.broadcast((seeds, places, block))
+            shared = spark.sparkContext.broadcast((*self._seeds(block), block))
             parts.append(docs.mapInPandas(self._search(shared), _LEAK))
         if not parts:
             return spark.createDataFrame([], _LEAK)
@@ -147,31 +113,36 @@ class LeakFinder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = WordNumbers()
-            seeds, places, block = shared.value
+            seeds, starts, items, places, block = shared.value
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):
                     numbers = words.of(text)
                     at = _present(grams(numbers, n), seeds)
                     spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                    for place in np.flatnonzero(at >= 0):
-                        for item, start in places[at[place]]:
+                    chains: dict[int, Counter] = defaultdict(Counter)
+                    for place in np.flatnonzero(at >= 0).tolist():
+                        pairs = slice(starts[at[place]], starts[at[place] + 1])
+                        for item, start in zip(items[pairs].tolist(), places[pairs].tolist()):
                             size = len(block[item][1])
-                            low = int(place) - start - size // 2
+                            low = place - start - size // 2
                             spots[item].append((max(0, low), low + 2 * size))
+                            chains[item][place - start] += 1
                     for item, windows in spots.items():
-                        best = (0, 0, 0, 0)
+                        best, longest = (0, 0, 0), 0
                         ids, wanted = block[item]
+                        # A run is a chain of seeds one after another; a score has two for each common word at most.
+                        run_too = max(chains[item].values()) >= min_run - n + 1
                         low, high = None, None
                         for a, b in [*sorted(windows), (None, None)]:
                             if low is not None and a is not None and a <= high:
                                 high = max(high, b)
                                 continue
-                            if low is not None:
-                                score, end, longest = align(wanted, numbers[low:high])
-                                best = max(best, (longest, score, low, low + end))
+                            if low is not None and (run_too or np.isin(wanted, numbers[low:high]).sum() >= min_score * len(wanted)):
+                                score, end, common = align(wanted, numbers[low:high])
+                                best, longest = max(best, (score, low, low + end)), max(longest, common)
                             low, high = a, b
-                        longest, score, low, last = best
+                        score, low, last = best
                         share = score / (2 * len(wanted))
                         if longest >= min_run or share >= min_score:
                             out += [(doc_id, item_id, share, longest, low, last) for item_id in ids]
