@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,13 +29,37 @@ _STOP = re.compile(r"(?<=[.!?…])\s+")
 FEATURES = ["density", "sameness", "repetition", "bareness", "links"]
 
 
+def _phrases(words: list[str], function: Container[str]) -> list[bool]:
+    """The part of ``repeated`` that holds for phrases of any length."""
+    inside = [False] * len(words)
+    fours = list(zip(words, words[1:], words[2:], words[3:]))
+    often = {f for f, n in Counter(fours).items() if n >= 5 and not all(w in function for w in f)}
+    if not often:
+        return inside
+    covered, places = [0] * len(words), {}
+    for k, four in enumerate(fours):
+        if four in often:
+            covered[k : k + 4] = [1] * 4
+            places.setdefault(four, []).append(k)
+    before = [0, *accumulate(covered)]
+    for at in places.values():
+        first = 0
+        for k in range(1, len(at) + 1):
+            if k == len(at) or 5 * (before[at[k]] - before[at[k - 1]]) < 4 * (at[k] - at[k - 1]):
+                if k - first >= 5:
+                    inside[at[first] : at[k - 1] + 4] = [True] * (at[k - 1] + 4 - at[first])
+                first = k
+    return inside
+
+
 def repeated(words: list[str], function: Container[str]) -> list[bool]:
     """For each word whether it stands in a phrase repeated over and over.
 
     That is a run of at least five occurrences of a pair of words, not both function words, with at
-    most six words between one and the next.
+    most six words between one and the next; or of four words, with any number of words between, most
+    of which stand in such fours too.
     """
-    inside = [False] * len(words)
+    inside = _phrases(words, function)
     pairs = Counter(zip(words, words[1:]))
     often = {p for p, n in pairs.items() if n >= 5 and not (p[0] in function and p[1] in function)}
     if not often:
@@ -107,7 +132,8 @@ class SpamFinder:
     """Finds documents of keywords, links or one repeated phrase.
 
     Parameters: ``functions`` words of a language at most, each in ``function_share`` of its
-    documents; a language needs ``min_language`` of all labelled documents; ``quantile``: the squared
+    documents; a language needs ``min_language`` of all labelled documents or ``enough`` of them;
+    ``quantile``: the squared
     distance from which a point is an outlier (chi-square with five degrees, 0.999: 20.5);
     ``least`` share of words in lists.
 
@@ -116,7 +142,8 @@ class SpamFinder:
     judged apart and given once; null ids are ignored; other columns are not read.
     """
 
-    def __init__(self, functions: int = 150, function_share: float = 0.12, min_language: float = 0.005, quantile: float = 20.5, least: float = 0.5):
+    def __init__(self, functions: int = 150, function_share: float = 0.12, min_language: float = 0.005, quantile: float = 20.5, least: float = 0.5, enough: int = 50):
+        self.enough = enough
         self.functions, self.function_share, self.min_language, self.quantile, self.least = functions, function_share, min_language, quantile, least
 
     def function_words(self, docs: DataFrame) -> dict[str, frozenset[str]]:
@@ -135,7 +162,7 @@ class SpamFinder:
         counts = materialize(labelled.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
         sizes = counts.where("word = ''").select("lang", F.col("n").alias("docs"))
         total = sizes.agg(F.sum("docs")).first()[0] or 0
-        large = sizes.where(F.col("docs") >= max(1.0, self.min_language * total))  # at most 1 / min_language rows
+        large = sizes.where(F.col("docs") >= max(1.0, min(self.enough, self.min_language * total)))  # one row a label in use
         common = counts.where("word <> ''").join(F.broadcast(large), "lang").where(F.col("n") >= self.function_share * F.col("docs"))
         out: dict[str, list[tuple[int, str]]] = {}
         for lang, word, n in common.select("lang", "word", "n").collect():  # at most 1 / function_share x words of a document each
