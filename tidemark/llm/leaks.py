@@ -9,7 +9,6 @@ contains a seed, so no such copy is missed.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,35 +112,19 @@ class LeakFinder:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = WordNumbers()
-            seeds, starts, items, places, block = shared.value
+            index = _Block(shared.value, n)
             for batch in batches:
                 out = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"]):
                     numbers = words.of(text)
-                    at = _present(grams(numbers, n), seeds)
-                    spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                    chains: dict[int, Counter] = defaultdict(Counter)
-                    for place in np.flatnonzero(at >= 0).tolist():
-                        pairs = slice(starts[at[place]], starts[at[place] + 1])
-                        for item, start in zip(items[pairs].tolist(), places[pairs].tolist()):
-                            size = len(block[item][1])
-                            low = place - start - size // 2
-                            spots[item].append((max(0, low), low + 2 * size))
-                            chains[item][place - start] += 1
-                    for item, windows in spots.items():
+                    for item, windows, run_too in index.pairs(numbers, min_run, min_score):
                         best, longest = (0, 0, 0), 0
-                        ids, wanted = block[item]
-                        # A run is a chain of seeds one after another; a score has two for each common word at most.
-                        run_too = max(chains[item].values()) >= min_run - n + 1
-                        low, high = None, None
-                        for a, b in [*sorted(windows), (None, None)]:
-                            if low is not None and a is not None and a <= high:
-                                high = max(high, b)
-                                continue
-                            if low is not None and (run_too or np.isin(wanted, numbers[low:high]).sum() >= min_score * len(wanted)):
+                        ids, wanted = index.block[item]
+                        for low, high in windows:
+                            # A score has two for each common word at most.
+                            if run_too or np.isin(wanted, numbers[low:high]).sum() >= min_score * len(wanted):
                                 score, end, common = align(wanted, numbers[low:high])
                                 best, longest = max(best, (score, low, low + end)), max(longest, common)
-                            low, high = a, b
                         score, low, last = best
                         share = score / (2 * len(wanted))
                         if longest >= min_run or share >= min_score:
@@ -149,3 +132,67 @@ class LeakFinder:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "run", "first_word", "last_word"])
 
         return run
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k]`` to ``first[k] + size[k] - 1`` of every k, one range after another."""
+    ends = size.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+class _Block:
+    """The seeds and words of a block of items, laid out for whole-array look-ups."""
+
+    def __init__(self, shared: tuple, n: int):
+        self.n = n
+        self.seeds, self.starts, self.items, self.places, self.block = shared
+        # A table of seeds' leading bits, a sixteenth full at most, spares most look-ups.
+        self.shift = np.uint64(64 - min(24, max(12, int(len(self.seeds) * 16).bit_length())))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self.seeds >> self.shift] = True
+        every = np.concatenate([numbers for _, numbers in self.block])
+        self.sizes = np.array([len(numbers) for _, numbers in self.block])
+        self.first = self.sizes.cumsum() - self.sizes
+        self.vocabulary, self.words = np.unique(every, return_inverse=True)
+        self.there = np.zeros(len(self.vocabulary), bool)
+
+    def pairs(self, numbers: np.ndarray, min_run: int, min_score: float) -> Iterator[tuple[int, list[tuple[int, int]], bool]]:
+        """(item, windows of the document, whether a run may be there) of the items that the words can reach.
+
+        A run is a chain of seeds one after another, and a score has two for each common word at most;
+        items that can reach neither are left out, all of them at once.
+        """
+        found = grams(numbers, self.n)
+        at = np.flatnonzero(self.maybe[found >> self.shift])
+        seed = _present(found[at], self.seeds)
+        at, seed = at[seed >= 0], seed[seed >= 0]
+        if not len(at):
+            return
+        many = self.starts[seed + 1] - self.starts[seed]
+        pair = _ranges(self.starts[seed], many)
+        item, offset = self.items[pair], np.repeat(at, many) - self.places[pair]
+        order = np.lexsort((offset, item))
+        item, offset = item[order], offset[order]
+        item, first = np.unique(item, return_index=True)
+        edge = np.append(first, len(offset))
+        new = np.ones(len(offset), bool)
+        new[1:] = offset[1:] != offset[:-1]
+        new[first] = True
+        chain = np.diff(np.append(np.flatnonzero(new), len(offset)))
+        chains = np.maximum.reduceat(chain, (new.cumsum() - 1)[first])
+        known = _present(numbers, self.vocabulary)
+        known = known[known >= 0]
+        self.there[known] = True
+        size = self.sizes[item]
+        common = np.add.reduceat(self.there[self.words[_ranges(self.first[item], size)]].astype(np.int64), size.cumsum() - size)
+        self.there[known] = False
+        run_too = chains >= min_run - self.n + 1
+        for k in np.flatnonzero(run_too | (common >= min_score * size)).tolist():
+            windows: list[tuple[int, int]] = []
+            for low in (np.unique(offset[edge[k] : edge[k + 1]]) - size[k] // 2).tolist():
+                low, high = max(0, low), low + 2 * int(size[k])
+                if windows and low <= windows[-1][1]:
+                    windows[-1] = (windows[-1][0], max(high, windows[-1][1]))
+                else:
+                    windows.append((low, high))
+            yield int(item[k]), windows, bool(run_too[k])
