@@ -40,6 +40,21 @@ def align(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int
     return best, end, longest
 
 
+def most_matches(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by whole rows of bits: no alignment matches more words."""
+    masks: dict[int, int] = {}
+    for k, word in enumerate(a.tolist()):
+        masks[word] = masks.get(word, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for word in b.tolist():
+        mask = masks.get(word)
+        if mask:
+            step = row & mask
+            row = ((row + step) | (row - step)) & full
+    return len(a) - row.bit_count()
+
+
 def _present(sought: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Places in the sorted ``among`` of each of ``sought``, or -1."""
     at = np.searchsorted(among, sought)
@@ -121,8 +136,7 @@ class LeakFinder:
                         best, longest = (0, 0, 0), 0
                         ids, wanted = index.block[item]
                         for low, high in windows:
-                            # A score has two for each common word at most.
-                            if run_too or np.isin(wanted, numbers[low:high]).sum() >= min_score * len(wanted):
+                            if run_too or most_matches(wanted, numbers[low:high]) >= min_score * len(wanted):
                                 score, end, common = align(wanted, numbers[low:high])
                                 best, longest = max(best, (score, low, low + end)), max(longest, common)
                         score, low, last = best
@@ -150,17 +164,30 @@ class _Block:
         self.shift = np.uint64(64 - min(24, max(12, int(len(self.seeds) * 16).bit_length())))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[self.seeds >> self.shift] = True
-        every = np.concatenate([numbers for _, numbers in self.block])
         self.sizes = np.array([len(numbers) for _, numbers in self.block])
-        self.first = self.sizes.cumsum() - self.sizes
-        self.vocabulary, self.words = np.unique(every, return_inverse=True)
-        self.there = np.zeros(len(self.vocabulary), bool)
+        own = [np.unique(numbers, return_counts=True) for _, numbers in self.block]
+        self.distinct = np.array([len(words) for words, _ in own])
+        self.first = self.distinct.cumsum() - self.distinct
+        self.times = np.concatenate([times for _, times in own])
+        self.vocabulary, self.words = np.unique(np.concatenate([words for words, _ in own]), return_inverse=True)
+        self.there = np.zeros(len(self.vocabulary), np.int64)
+
+    def common(self, numbers: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """For each of the items, how many of its words ``numbers`` holds, each as often as both have it at most."""
+        known = _present(numbers, self.vocabulary)
+        known, times = np.unique(known[known >= 0], return_counts=True)
+        self.there[known] = times
+        size = self.distinct[item]
+        entry = _ranges(self.first[item], size)
+        out = np.add.reduceat(np.minimum(self.there[self.words[entry]], self.times[entry]), size.cumsum() - size)
+        self.there[known] = 0
+        return out
 
     def pairs(self, numbers: np.ndarray, min_run: int, min_score: float) -> Iterator[tuple[int, list[tuple[int, int]], bool]]:
         """(item, windows of the document, whether a run may be there) of the items that the words can reach.
 
         A run is a chain of seeds one after another, and a score has two for each common word at most;
-        items that can reach neither are left out, all of them at once.
+        items that can reach neither are left out, all of them at once, before any window is looked at.
         """
         found = grams(numbers, self.n)
         at = np.flatnonzero(self.maybe[found >> self.shift])
@@ -171,22 +198,17 @@ class _Block:
         many = self.starts[seed + 1] - self.starts[seed]
         pair = _ranges(self.starts[seed], many)
         item, offset = self.items[pair], np.repeat(at, many) - self.places[pair]
-        order = np.lexsort((offset, item))
-        item, offset = item[order], offset[order]
+        place = np.repeat(at, many)
+        order = np.lexsort((place, offset, item))
+        item, offset, place = item[order], offset[order], place[order]
         item, first = np.unique(item, return_index=True)
         edge = np.append(first, len(offset))
         new = np.ones(len(offset), bool)
-        new[1:] = offset[1:] != offset[:-1]
+        new[1:] = (offset[1:] != offset[:-1]) | (place[1:] != place[:-1] + 1)
         new[first] = True
         chain = np.diff(np.append(np.flatnonzero(new), len(offset)))
-        chains = np.maximum.reduceat(chain, (new.cumsum() - 1)[first])
-        known = _present(numbers, self.vocabulary)
-        known = known[known >= 0]
-        self.there[known] = True
-        size = self.sizes[item]
-        common = np.add.reduceat(self.there[self.words[_ranges(self.first[item], size)]].astype(np.int64), size.cumsum() - size)
-        self.there[known] = False
-        run_too = chains >= min_run - self.n + 1
+        run_too = np.maximum.reduceat(chain, (new.cumsum() - 1)[first]) >= min_run - self.n + 1
+        size, common = self.sizes[item], self.common(numbers, item)
         for k in np.flatnonzero(run_too | (common >= min_score * size)).tolist():
             windows: list[tuple[int, int]] = []
             for low in (np.unique(offset[edge[k] : edge[k + 1]]) - size[k] // 2).tolist():
