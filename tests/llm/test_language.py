@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import random
+import zlib
 
-from tidemark.llm.language import LanguageLabeller, LanguageModel, label_language, segment_text, sentences
+from tidemark.llm.language import WORD, LanguageLabeller, LanguageModel, _count_labelled, label_language, segment_text, sentences
 
 SCHEMA = "fetch_no long, body string, lang string, code string, segment int"
 PARTS = {
@@ -60,5 +61,33 @@ def test_unseen_words_back_off():
     assert model.score("")[0] is None and segment_text(model, None, 0.8) == []
 
 
+def test_backoff_on_held_out_documents(spark):
+    """Half of all words are kept from a model; they tell the language of held-out documents' sentences by their n-grams alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/crawled_docs.parquet").select("fetch_no", "body", "lang")
+    labeller, held_out = LanguageLabeller(), lambda word: zlib.crc32(word.encode()) % 2 == 0
+    code = label_language(docs["lang"]).alias("code")
+    seen = docs.where("fetch_no % 2 = 0").select(code, docs["body"].alias("text")).where("code is not null and text is not null")
+    counts = labeller._counts(seen.mapInPandas(_count_labelled, "code string, word string, n double"))
+    full = LanguageModel(counts, list(counts))
+    half = LanguageModel({c: {w: n for w, n in words.items() if not held_out(w)} for c, words in counts.items()}, list(counts))
+    common = {w for words in counts.values() for w, n in words.items() if n >= 5}  # invented names are of no language
+    right = total = 0
+    for row in docs.where("fetch_no % 2 = 1").collect():
+        for _, text, whole in sentences(row["body"]):
+            unseen = [w for w in WORD.findall(text.lower()) if held_out(w) and w in common]
+            lang, sure, _ = full.score(text)
+            if whole and len(unseen) >= 4 and sure > 0.99:
+                total += 1
+                right += half.score(" ".join(unseen))[0] == lang
+    assert total > 200 and right / total > 0.7, (right, total)
+
+
+def test_sample_bounds_the_fit_only(spark):
+    rng, rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA)
+    small = {tuple(r) for r in LanguageLabeller(sample=20).missing(df).collect()}
+    assert small == {tuple(r) for r in LanguageLabeller().missing(df).collect()}
+
+
 def test_no_rows(spark):
     assert LanguageLabeller().missing(spark.createDataFrame([], SCHEMA)).count() == 0

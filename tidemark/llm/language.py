@@ -1,13 +1,14 @@
 """Language of each document and segment (problem 7): words first, then shorter and shorter n-grams.
 
-The counts come from the documents themselves: first under their labels, which are noisy, then again
-under the languages that the first model gives each sentence. A known word scores its log frequency
-in each language; an unseen one falls back to its character n-grams, from the longest length of which
-the model knows any down to single characters.
+The counts come from a bounded sample of labelled documents: first under their labels, which are noisy,
+then again under the languages that the first model gives each sentence. A known word scores its log frequency
+in each language; an unseen one falls back to its character n-grams, at each place the longest that the
+model knows, down to single characters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -43,7 +44,7 @@ _FIELD = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|<<.*?>>|[$#]\{.*?\}|\*\|.*?\
 _MARK = re.compile(r"[{%<$#*@`\[]|__|://")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+")
 _CODE = re.compile(r"[{}<>=;_|\\/]")
-MAX_N = 4
+MAX_N = 3
 
 
 def label_language(label: Column) -> Column:
@@ -92,7 +93,7 @@ class LanguageModel:
         for word, c in table.items():
             self.words[word] = len(self.words)
             scores.append(np.log((c + 0.05) / total))
-            share = np.sqrt(c / total * total.max())
+            share = c / total * total.max()
             padded = f" {word} "
             for size in range(1, MAX_N + 1):
                 for i in range(len(padded) - size + 1):
@@ -111,12 +112,15 @@ class LanguageModel:
         if found is None:
             if len(self.memory) > 200_000:
                 self.memory.clear()
-            found, padded = np.zeros(len(self.languages)), f" {word} "
-            for size in range(min(MAX_N, len(padded)), 0, -1):
-                hits = [s for i in range(len(padded) - size + 1) if (s := self.gram_score[size].get(padded[i : i + size])) is not None]
-                if hits:
-                    found = np.mean(hits, axis=0)
-                    break
+            padded = f" {word} "
+            hits = []
+            for i in range(len(padded)):
+                for size in range(min(MAX_N, len(padded) - i), 0, -1):
+                    score = self.gram_score[size].get(padded[i : i + size])
+                    if score is not None:
+                        hits.append(score)
+                        break
+            found = np.mean(hits, axis=0) if hits else np.zeros(len(self.languages))
             # An unseen word is often a name, which tells little: it counts half.
             found = 0.5 * (found - found.max())
             self.memory[word] = found
@@ -156,9 +160,9 @@ class LanguageModel:
 class LanguageLabeller:
     """Gives documents and segments a language with a confidence.
 
-    Parameters: ``vocabulary``, the words kept of each language (the most frequent of all documents;
-    it bounds what is sent to the driver and broadcast: 20,000 words of six languages are under 100 MB
-    on a worker); ``least`` confidence of a sentence.
+    Parameters: ``sample``, the labelled rows of each language that the model is fitted on, chosen by the
+    hash of their number (all rows where there are fewer; it bounds what is sent to the driver and
+    broadcast: the words of 30,000 texts are under 100 MB on a worker); ``least`` confidence of a sentence.
 
     Defined results: null and empty texts have no segment; a document with no sentence of a known
     language gets a null language; filler Latin, unfilled fields, code and addresses are no language;
@@ -166,23 +170,25 @@ class LanguageLabeller:
     other columns are not read.
     """
 
-    def __init__(self, vocabulary: int = 20_000, least: float = 0.8, row: str = "fetch_no", text: str = "body", label: str = "lang"):
-        self.vocabulary, self.least, self.row, self.text, self.label = vocabulary, least, row, text, label
+    def __init__(self, sample: int = 2_500, least: float = 0.8, row: str = "fetch_no", text: str = "body", label: str = "lang"):
+        self.sample, self.least, self.row, self.text, self.label = sample, least, row, text, label
 
-    def _top(self, counts: DataFrame) -> dict[str, dict[str, float]]:
-        """The most frequent words of each language: at most ``vocabulary`` rows each reach the driver."""
+    def _counts(self, words: DataFrame) -> dict[str, dict[str, float]]:
+        """The words of each language in the sample, which bounds them."""
         out: dict[str, dict[str, float]] = {code: {} for code in LABELS}
-        for code in LABELS:
-            for word, n in counts.where(F.col("code") == code).orderBy(F.col("n").desc(), "word").limit(self.vocabulary).select("word", "n").collect():
-                out[code][word] = float(n)
+        for code, word, n in words.groupBy("code", "word").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False):
+            out[code][word] = float(n)
         return out
 
     def fit(self, docs: DataFrame) -> LanguageModel:
-        """The model of all documents' words: by label, then by the sentences' own languages."""
-        rows = docs.select(F.col(self.text).alias("text"), label_language(F.col(self.label)).alias("code")).where("text is not null")
-        counts = materialize(rows.where("code is not null").mapInPandas(_count_labelled, "code string, word string, n long")
-                             .groupBy("code", "word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-        first = LanguageModel(self._top(counts), list(LABELS))
+        """The model of the sample's words: by label, then by the sentences' own languages."""
+        labelled = docs.select(F.col(self.row).alias("row"), F.col(self.text).alias("text"), label_language(F.col(self.label)).alias("code")).where("text is not null and code is not null")
+        sizes = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}  # one row a language
+        part = F.lit(0.0)
+        for code, n in sizes.items():
+            part = F.when(F.col("code") == code, F.lit(min(1.0, self.sample / n))).otherwise(part)
+        rows = materialize(labelled.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < part * (1 << 30)).select("code", "text"), "sample")
+        first = LanguageModel(self._counts(rows.mapInPandas(_count_labelled, "code string, word string, n double")), list(LABELS))
         shared, least = docs.sparkSession.sparkContext.broadcast(first), self.least
 
         def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,9 +205,7 @@ class LanguageLabeller:
                         _add(total[code], counted)
                 yield _frame(total)
 
-        counts = materialize(rows.select("text").mapInPandas(recount, "code string, word string, n long")
-                             .groupBy("code", "word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-        return LanguageModel(self._top(counts), list(LABELS))
+        return LanguageModel(self._counts(rows.select("text").mapInPandas(recount, "code string, word string, n double")), list(LABELS))
 
     def segments(self, docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
         """(row, segment, first, last, lang, confidence, sentences): runs of whole sentences of one language.
@@ -265,9 +269,9 @@ def segment_text(model: LanguageModel, text: str | None, least: float) -> list[t
 
 
 def _add(total: Counter, own: Counter) -> None:
-    """A document counts a word at most three times: one long text with a wrong label can't outweigh the rest."""
+    """A document's counts grow by their logarithm: one long text with a wrong label can't outweigh the rest."""
     for word, n in own.items():
-        total[word] += n if n < 3 else 3
+        total[word] += 1 + math.log(n)
 
 
 def _frame(total: dict[str, Counter]) -> pd.DataFrame:
