@@ -3,8 +3,9 @@
 Each document becomes a point of five features, each larger for spam: density of list-like text,
 lack of entropy, repetition, lack of function words, links. Per language a robust centre and scatter
 (medians, then the covariance of the nearest half, twice) give each point its Mahalanobis distance.
-Outliers that lie in the spam-directed half-space are candidates, and a candidate is flagged if more
-than half of its words stand in lists or in one phrase repeated.
+An outlier is flagged if it lies in a spam direction: that is from the language's centre towards a page
+of nothing but keywords, of nothing but links, or of one phrase said over and over, and nearer, by the
+same distance, to such a page than to the centre.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?\b")
 _DOT = re.compile(r"[^\W\d_]\.[^\W\d_]")
 _STOP = re.compile(r"(?<=[.!?…])\s+")
 FEATURES = ["density", "sameness", "repetition", "bareness", "links"]
+#: Pages of nothing but spam: keywords, links, one phrase. Features that aren't named are the language's usual ones.
+POLES = [{"density": 1.0, "bareness": 1.0}, {"density": 1.0, "bareness": 1.0, "links": 1.0}, {"repetition": 1.0, "sameness": 0.5}]
 
 
 def _phrases(words: list[str], function: Container[str]) -> list[bool]:
@@ -132,19 +135,16 @@ class SpamFinder:
     """Finds documents of keywords, links or one repeated phrase.
 
     Parameters: ``functions`` words of a language at most, each in ``function_share`` of its
-    documents; a language needs ``min_language`` of all labelled documents or ``enough`` of them;
-    ``quantile``: the squared
-    distance from which a point is an outlier (chi-square with five degrees, 0.999: 20.5);
-    ``least`` share of words in lists.
+    documents; a language needs ``enough`` labelled documents; ``quantile``: the squared distance from
+    which a point is an outlier (chi-square with five degrees, 0.999: 20.5).
 
     Defined results: null texts and texts without words are no spam; documents of no known language
     are measured against those of all languages; a group of equal points has no outlier but those unequal to it; repeated ids are
     judged apart and given once; null ids are ignored; other columns are not read.
     """
 
-    def __init__(self, functions: int = 150, function_share: float = 0.12, min_language: float = 0.005, quantile: float = 20.5, least: float = 0.5, enough: int = 50):
-        self.enough = enough
-        self.functions, self.function_share, self.min_language, self.quantile, self.least = functions, function_share, min_language, quantile, least
+    def __init__(self, functions: int = 150, function_share: float = 0.12, enough: int = 20, quantile: float = 20.5):
+        self.functions, self.function_share, self.enough, self.quantile = functions, function_share, enough, quantile
 
     def function_words(self, docs: DataFrame) -> dict[str, frozenset[str]]:
         """Words in a large share of all documents of each labelled language: bounded by languages x ``functions``."""
@@ -161,8 +161,7 @@ class SpamFinder:
 
         counts = materialize(labelled.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
         sizes = counts.where("word = ''").select("lang", F.col("n").alias("docs"))
-        total = sizes.agg(F.sum("docs")).first()[0] or 0
-        large = sizes.where(F.col("docs") >= max(1.0, min(self.enough, self.min_language * total)))  # one row a label in use
+        large = sizes.where(F.col("docs") >= self.enough)  # one row a label in use
         common = counts.where("word <> ''").join(F.broadcast(large), "lang").where(F.col("n") >= self.function_share * F.col("docs"))
         out: dict[str, list[tuple[int, str]]] = {}
         for lang, word, n in common.select("lang", "word", "n").collect():  # at most 1 / function_share x words of a document each
@@ -188,7 +187,7 @@ class SpamFinder:
         return materialize(docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInPandas(run, schema), "points")
 
     def distances(self, points: DataFrame) -> DataFrame:
-        """``points`` with ``d2``, the squared robust distance, and ``toward``, the spam-directed part of it."""
+        """``points`` with ``d2``, the squared robust distance from the centre, and ``toward``, how far on the way to the nearest kind of spam."""
         k = len(FEATURES)
         spark = points.sparkSession
         medians = {r["lang"]: np.array([r[f"m{i}"] for i in range(k)]) for r in
@@ -224,17 +223,29 @@ class SpamFinder:
     @staticmethod
     def _scored(points: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
         """Distances as plain expressions over a small table of each language's centre and inverse scatter."""
-        rows = [(lang, [float(x) for x in m], [float(x) for x in inv.ravel()]) for lang, (m, inv) in model.items()]
-        table = points.sparkSession.createDataFrame(rows, "lang string, m array<double>, inv array<double>")
+        rows = [(lang, [float(x) for x in m], [float(x) for x in inv.ravel()], SpamFinder._ways(m, inv)) for lang, (m, inv) in model.items()]
+        table = points.sparkSession.createDataFrame(rows, "lang string, m array<double>, inv array<double>, ways array<double>")
         k = len(FEATURES)
         joined = points.join(F.broadcast(table), "lang")
         diff = [F.col(c) - F.col("m")[i] for i, c in enumerate(FEATURES)]
         d2 = sum(diff[i] * diff[j] * F.col("inv")[i * k + j] for i in range(k) for j in range(k))
-        toward = sum(diff[i] * F.sqrt(F.col("inv")[i * k + i]) for i in range(k)) / math.sqrt(k)
+        # Half way to a pole a point is as far from it as from the centre.
+        toward = F.greatest(*[sum(diff[i] * F.col("ways")[p * k + i] for i in range(k)) for p in range(len(POLES))])
         return joined.select(*points.columns, d2.alias("d2"), toward.alias("toward"))
 
+    @staticmethod
+    def _ways(centre: np.ndarray, inverse: np.ndarray) -> list[float]:
+        """For each pole the weights that give a point's place between centre (0) and pole (1), along the inverse scatter."""
+        out: list[float] = []
+        for pole in POLES:
+            step = np.array([pole.get(c, m) - m for c, m in zip(FEATURES, centre)])
+            along = inverse @ step
+            size = float(step @ along)
+            out += (along / size if size > 1e-12 else along).tolist()
+        return out
+
     def find(self, docs: DataFrame) -> DataFrame:
         """(doc_id, d2, toward, share) of the flagged documents."""
         scored = self.distances(self.points(docs))
-        flagged = scored.where((F.col("d2") > self.quantile) & (F.col("toward") > 0) & (F.col("share") > self.least))
+        flagged = scored.where((F.col("d2") > self.quantile) & (F.col("toward") > 0.5))
         return flagged.groupBy("doc_id").agg(F.max("d2").alias("d2"), F.max("toward").alias("toward"), F.max("share").alias("share"))
