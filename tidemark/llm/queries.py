@@ -53,19 +53,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.history import History
 
+    # Every batch is checked against all that were accepted before it; a null number comes first.
     docs = _read(spark, sf_dir, "batch_docs")
-    low, high = docs.select(F.min("batch_no"), F.max("batch_no")).first()
-    if low is None:
-        low = high = 0
-    # The batches are accepted in order, three runs of consecutive batches one after another.
-    edges = sorted({low + (high + 1 - low) * k // 3 for k in (1, 2, 3)})
-    history, found, start = History(spark), None, None
-    for edge in edges:
-        inside = F.coalesce("batch_no", F.lit(low))
-        batch = docs.where((inside < edge) if start is None else (inside >= start) & (inside < edge))
-        part = history.append(batch)
-        found, start = part if found is None else found.unionByName(part), edge
-    return found
+    history, found = History(spark), None
+    for (batch,) in docs.select("batch_no").distinct().orderBy("batch_no").collect():  # the batches' numbers
+        part = history.append(docs.where(F.col("batch_no").eqNullSafe(batch)))
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else history.append(docs)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
