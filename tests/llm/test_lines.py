@@ -4,7 +4,11 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from tidemark.llm.lines import SourceLineIndex
+from tidemark.operators.store import Attempt
+from tidemark.session import materialize
 
 SCHEMA = "fetch_no long, domain string, body string, row_id int, line string"
 
@@ -83,3 +87,26 @@ def test_repeated_rows_count_once(spark):
     index = SourceLineIndex(spark)
     index.merge(spark.createDataFrame(rows, SCHEMA))
     assert found(index) == set()
+
+
+def test_rebuild_and_lost_merge(spark, monkeypatch):
+    rows = [r for r in made(seed=3) if r[0] is not None]
+    df, index, built = spark.createDataFrame(rows, SCHEMA), SourceLineIndex(spark), None
+    whole = Attempt.write
+
+    def dies(self, table_df, table):
+        if table == "verdicts":
+            raise RuntimeError("lost")
+        return whole(self, table_df, table)
+
+    for end in (70, 140, 10**6):
+        until = df.where(f"fetch_no < {end}")
+        monkeypatch.setattr(Attempt, "write", dies)
+        with pytest.raises(RuntimeError):
+            index.merge(until)
+        monkeypatch.setattr(Attempt, "write", whole)
+        changed = index.merge(until)
+        built = materialize(index.rebuild(until, built, changed), "built")
+        index.compact()
+    assert found(index) == brute(rows)
+    assert sorted(map(tuple, built.collect()), key=str) == sorted(map(tuple, index.clean(df).collect()), key=str)

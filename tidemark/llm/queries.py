@@ -31,6 +31,21 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.clean(docs).select("fetch_no", "body")
 
 
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned bodies after four deltas in order of arrival, each rebuilding only what its threshold crossings changed."""
+    from tidemark.llm.lines import SourceLineIndex
+    from tidemark.session import materialize
+
+    docs, index, built = _read(spark, sf_dir, "crawled_docs").select("fetch_no", "domain", "body"), SourceLineIndex(spark), None
+    low, high = docs.select(F.min("fetch_no"), F.max("fetch_no")).first()
+    edges = [] if low is None else [low + (high - low) * k // 4 for k in (1, 2, 3)]
+    for start, end in zip([None, *edges], [*edges, None]):
+        until = docs if end is None else docs.where(F.col("fetch_no") < end)
+        changed = materialize(index.merge(until if start is None else until.where(F.col("fetch_no") >= start)), "changed")
+        built = materialize(index.rebuild(until, built, changed), "built")
+    return built.select("fetch_no", "body")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mainbody import MainBody
 
@@ -134,7 +149,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found,
+        "p1_found": p1_found, "p1_clean": p1_clean, "p1_rebuilt": p1_rebuilt, "p2_found": p2_found, "p2_bodies": p2_bodies, "p3_found": p3_found,
         "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found,
         "p7_segments": p7_segments, "p7_labels": p7_labels, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found,
         "p9_shares": p9_shares, "p9_mix": p9_mix, "p10_found": p10_found,
@@ -155,6 +170,11 @@ flagged as (select c.source, c.key from counts c join sizes s using (source) whe
 hits as (select distinct k.fetch_no, k.line_no from keyed k join flagged f using (source, key))
 """
 
+_CLEAN = _LINES + """, gone as (select fetch_no, list(line_no) as gone from hits group by 1)
+select c.fetch_no, case when g.gone is null then c.body else array_to_string(
+  list_transform(list_filter(range(len(c.lines)), lambda i: not list_contains(g.gone, i)), lambda i: c.lines[i + 1]), chr(10)) end as body
+from cut c left join gone g using (fetch_no)"""
+
 _PLACES = """
 with best as (
   select query_id, list_no, doc_id, max(case when coalesce(higher_is_better, true) then score::double else -score::double end) as s
@@ -175,10 +195,8 @@ ranked as (select query_id, doc_id, row_number() over (partition by query_id ord
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _LINES + "select fetch_no, line_no::int as line_no from hits",
-        "p1_clean": _LINES + """, gone as (select fetch_no, list(line_no) as gone from hits group by 1)
-select c.fetch_no, case when g.gone is null then c.body else array_to_string(
-  list_transform(list_filter(range(len(c.lines)), lambda i: not list_contains(g.gone, i)), lambda i: c.lines[i + 1]), chr(10)) end as body
-from cut c left join gone g using (fetch_no)""",
+        "p1_clean": _CLEAN,
+        "p1_rebuilt": _CLEAN,
         "p3_found": """
 with valid as (
   select doc_id, list_transform(arg_min(embedding, rec_no), lambda x: x::double) as v from vec_records
