@@ -65,3 +65,28 @@ def test_few_and_none(spark):
     assert len(pairs(VantagePointNeighbours(16, 5).neighbours(spark.createDataFrame(rows, SCHEMA)))) == 6
     assert VantagePointNeighbours(16, 5).neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert VantagePointNeighbours(16, 5).neighbours(spark.createDataFrame(rows[:1], SCHEMA)).count() == 0
+
+
+def test_near_copies_are_exact_at_factor_one(spark):
+    """Clusters of vectors whose angles are far below single precision's, over several shards."""
+    rng = np.random.default_rng(8)
+    for angle in (1e-6, 1e-4, 1e-2):
+        centres = rng.standard_normal((12, 32))
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        step = rng.standard_normal((360, 32))
+        matrix = centres[rng.integers(0, 12, 360)] + angle * step / np.linalg.norm(step, axis=1, keepdims=True)
+        rows = rows_of(matrix)
+        found = VantagePointNeighbours(32, 5, factor=1.0, shard=64, sample=200, queries=40).neighbours(spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>")))
+        ids = np.arange(100, 460)
+        unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        sims = np.round(unit @ unit.T, 12)
+        np.fill_diagonal(sims, -2)
+        true = {(ids[a], ids[b]) for a, order in enumerate(np.argsort(-sims, axis=1, kind="stable")[:, :5]) for b in order}
+        assert pairs(found) == true, angle
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Forty vectors as far from one another as from every other."""
+    matrix = np.eye(40)
+    found = pairs(VantagePointNeighbours(40, 5, factor=1.0, shard=8, sample=40).neighbours(spark.createDataFrame(rows_of(matrix), SCHEMA)))
+    assert found == {(a, b) for a in range(100, 140) for b in [x for x in range(100, 140) if x != a][:5]}

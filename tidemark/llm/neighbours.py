@@ -3,8 +3,9 @@
 A tree over a bounded sample cuts the unit sphere into shards; each shard builds a vantage-point
 tree of its own. Distances are angles, a metric. A vector is first searched in its home shard, which
 bounds the distance of its k-th neighbour; then it is sent to those other shards only that the
-triangle inequality leaves within ``factor`` times that distance. Factor one is exact; smaller
-factors prune more and may lose neighbours. The last comparison is in double precision.
+triangle inequality leaves within ``factor`` times that distance. Factor one is exact, near copies and
+ties included, for everything is in double precision and bounds have a slack over its rounding; smaller
+factors prune more and may lose neighbours.
 
 A vantage point need not be a stored vector. Taken from stored vectors, all distances are about a
 right angle in high dimensions and nothing can be pruned; so the point is the direction along which
@@ -17,12 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
 LEAF = 256
+#: Similarities that differ by less are equal: rounding of double-precision products.
+DIGITS = 12
 
 
 def _angles(points: np.ndarray, vantage: np.ndarray) -> np.ndarray:
@@ -33,14 +37,14 @@ def _vantage(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Direction of the largest spread around the mean, of at most 2,000 of the node's vectors."""
     some = points if len(points) <= 2000 else points[rng.choice(len(points), 2000, replace=False)]
     some = some - some.mean(axis=0)
-    v = rng.standard_normal(points.shape[1]).astype(np.float32)
+    v = rng.standard_normal(points.shape[1])
     for _ in range(8):
         v = some.T @ (some @ v)
         size = np.linalg.norm(v)
         if size < 1e-12:
-            return np.eye(1, points.shape[1], dtype=np.float32)[0]
+            return np.eye(1, points.shape[1])[0]
         v = v / size
-    return v.astype(np.float32)
+    return v
 
 
 def build(points: np.ndarray, leaf: int, rng: np.random.Generator) -> list[tuple]:
@@ -74,9 +78,9 @@ class _Search:
 
     def run(self, queries: np.ndarray, own: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, cosines), ``k`` each: the best of the shard without ``own``. ``reach``: angle beyond which nothing counts."""
-        self.q, self.own, self.reach = queries, own, reach.astype(np.float32).copy()
+        self.q, self.own, self.reach = queries, own, reach.astype(np.float64)
         self.best = np.full((len(queries), self.k), -1, np.int64)
-        self.cos = np.full((len(queries), self.k), -2, np.float32)
+        self.cos = np.full((len(queries), self.k), -2.0)
         if len(queries) and len(self.points):
             self._visit(0, np.arange(len(queries)))
         return self.best, self.cos
@@ -101,26 +105,44 @@ class _Search:
                     self._visit(second, mine[keep])
 
     def _leaf(self, rows: np.ndarray, who: np.ndarray) -> None:
-        cos = self.q[who] @ self.points[rows].T
+        cos = np.round(self.q[who] @ self.points[rows].T, DIGITS)
         cos[self.own[who][:, None] == self.ids[rows][None, :]] = -2
         both = np.concatenate([self.cos[who], cos], axis=1)
-        top = np.argpartition(-both, self.k - 1, axis=1)[:, : self.k]
         at = np.concatenate([self.best[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
-        self.cos[who] = np.take_along_axis(both, top, axis=1)
-        self.best[who] = np.take_along_axis(at, top, axis=1)
-        worst = self.cos[who].min(axis=1)
+        some = min(3 * self.k, both.shape[1] - 1)
+        top = np.argpartition(-both, some, axis=1)[:, : some + 1]
+        found, places = np.take_along_axis(both, top, axis=1), np.take_along_axis(at, top, axis=1)
+        order = self._order(found, places)
+        cos_k, best_k = np.take_along_axis(found, order, axis=1), np.take_along_axis(places, order, axis=1)
+        # Where the last of the few is as similar as the k-th, more are: all are put in order.
+        tied = np.flatnonzero((found.min(axis=1) >= cos_k[:, -1]) & (cos_k[:, -1] > -2))
+        if len(tied):
+            order = self._order(both[tied], at[tied])
+            cos_k[tied], best_k[tied] = np.take_along_axis(both[tied], order, axis=1), np.take_along_axis(at[tied], order, axis=1)
+        self.cos[who], self.best[who] = cos_k, best_k
+        worst = cos_k[:, -1]
         self.reach[who] = np.minimum(self.reach[who], np.where(worst > -2, np.arccos(np.clip(worst, -1, 1)), np.inf))
 
+    def _order(self, cos: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of the ``k`` most similar of each row, equal ones by id."""
+        return np.lexsort((self.ids[rows], -cos), axis=1)[:, : self.k]
+
 
 def _unpack(vectors, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.float32).reshape(-1, dims)
+    """Unit vectors in double precision; ``vectors`` are bytes of the stored ones."""
+    every = b"".join(vectors)
+    if not every:
+        return np.empty((0, dims))
+    kind = np.float32 if len(every) == 4 * dims * len(vectors) else np.float64
+    points = np.frombuffer(every, kind).reshape(-1, dims).astype(np.float64)
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
 class VantagePointNeighbours:
     """k nearest neighbours by cosine of all valid vectors.
 
     Parameters: ``factor`` (1 is exact), ``sample``: vectors that shape the shards (all are indexed),
-    ``shard``: aimed-at vectors of a shard.
+    ``shard``: aimed-at vectors of a shard, ``queries``: routed vectors that one task searches in a shard.
 
     Defined results: null, all-zero and wrongly long vectors, those with null or non-finite numbers,
     and null ids take no part; an id stored again counts once (with its smallest ``record``); no id is
@@ -128,29 +150,30 @@ class VantagePointNeighbours:
     once, so any share of the rows may be copies; with fewer than k + 1 ids all others are neighbours.
     """
 
-    def __init__(self, dims: int = 128, k: int = 5, factor: float = 0.25, sample: int = 20_000, shard: int = 8192, seed: int = 5):
-        self.dims, self.k, self.factor, self.sample, self.shard, self.seed = dims, k, factor, sample, shard, seed
+    def __init__(self, dims: int = 128, k: int = 5, factor: float = 0.25, sample: int = 20_000, shard: int = 8192, queries: int = 65_536, seed: int = 5):
+        self.dims, self.k, self.factor, self.sample, self.shard, self.queries, self.seed = dims, k, factor, sample, shard, queries, seed
 
     def _valid(self, records: DataFrame, record: str, item: str, vector: str) -> DataFrame:
-        """(id, vec): unit vectors as float32 bytes, one per id."""
+        """(id, vec, h, h2): the vectors' bytes as stored, one per id, and two hashes of their direction."""
         dims = self.dims
+        kind = np.float32 if records.schema[vector].dataType.elementType.typeName() == "float" else np.float64
 
-        def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def valid(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                ids, nos, out = [], [], []
+                out = []
                 for i, no, v in zip(batch["id"], batch["no"], batch["v"]):
-                    v = np.asarray(v, np.float64)
-                    size = np.linalg.norm(v)
-                    if len(v) == dims and np.isfinite(size) and size > 0:
-                        ids.append(i)
-                        nos.append(no)
-                        out.append((v / size).astype(np.float32).tobytes())
-                yield pd.DataFrame({"id": ids, "no": nos, "vec": pd.Series(out, dtype=object)})
+                    v = np.asarray(v, kind)
+                    wide = v.astype(np.float64)
+                    size = np.linalg.norm(wide)
+                    if np.isfinite(size) and size > 0:
+                        direction = (np.round(wide / size, DIGITS) + 0.0).tobytes()
+                        out.append((i, no, v.tobytes(), *(xxhash.xxh64_intdigest(direction, k) - 2**63 for k in (1, 2))))
+                yield pd.DataFrame(out, columns=["id", "no", "vec", "h", "h2"])
 
         rows = records.select(F.col(item).alias("id"), F.coalesce(F.col(record), F.lit(2**62)).alias("no"), F.col(vector).alias("v"))
         rows = rows.where((F.col("id").isNotNull()) & (F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull()))
-        return (rows.mapInPandas(unit, "id long, no long, vec binary")
-                .groupBy("id").agg(F.min_by("vec", F.struct("no", "vec")).alias("vec")))
+        return (rows.mapInPandas(valid, "id long, no long, vec binary, h long, h2 long")
+                .groupBy("id").agg(F.min_by(F.struct("vec", "h", "h2"), F.struct("no", "vec")).alias("v")).select("id", "v.*"))
 
     def _routes(self, tree: list[tuple], points: np.ndarray, reach: np.ndarray | None) -> list[np.ndarray]:
         """For each leaf of the shard tree the rows it gets: homes, or all that ``reach`` leaves."""
@@ -174,12 +197,13 @@ class VantagePointNeighbours:
     def neighbours(self, records: DataFrame, record: str = "rec_no", item: str = "doc_id", vector: str = "embedding") -> DataFrame:
         """(id, neighbour, similarity): k rows per id."""
         spark, dims, k, seed = records.sparkSession, self.dims, self.k, self.seed
-        valid = materialize(self._valid(records, record, item, vector).withColumn("h", F.xxhash64("vec")).withColumn("h2", F.hash("vec")), "vectors")
-        # One entry per direction, with its k + 1 smallest ids; in two steps, for copies may be many.
+        valid = materialize(self._valid(records, record, item, vector), "vectors")
+        # One entry per direction, with its k + 1 smallest ids; in salted steps, for copies may be many.
         least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-        salted = valid.groupBy("h", "h2", F.pmod("id", F.lit(64)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"), F.first("vec").alias("vec"))
-        groups = materialize(salted.groupBy("h", "h2").agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.first("vec").alias("vec"))
-                             .withColumn("rep", F.element_at("ids", 1)), "directions")
+        salted = valid.groupBy("h", "h2", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"), F.min("vec").alias("vec"))
+        for salts in (64, 1):
+            salted = salted.groupBy("h", "h2", F.pmod("salt", F.lit(salts)).alias("salt")).agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.min("vec").alias("vec"))
+        groups = materialize(salted.select("h", "h2", "ids", "vec", F.element_at("ids", 1).alias("rep")), "directions")
         n = groups.count()
         part = min(1.0, 1.2 * self.sample / max(n, 1))
         some = groups.select("vec") if part >= 1 else groups.where(F.abs(F.hash("h", F.lit(seed)) / 2.0**31) < part).select("vec")
@@ -200,15 +224,10 @@ class VantagePointNeighbours:
 
         placed = materialize(groups.select("rep", "vec", F.size("ids").alias("copies")).mapInPandas(home, "rep long, vec binary, copies int, shard int"), "placed")
 
-        def found(search: _Search, exact: np.ndarray, queries: np.ndarray, own: np.ndarray, reach: np.ndarray):
-            rows, cos = search.run(queries, own, reach)
-            sims = np.einsum("qd,qkd->qk", queries.astype(np.float64), exact[rows])
-            return rows, np.where((rows >= 0) & (cos > -2), sims, -2)
-
         def first(pdf: pd.DataFrame) -> pd.DataFrame:
             vec, ids = _unpack(pdf["vec"], dims), pdf["rep"].to_numpy()
             search = _Search(vec, ids, width, factor, np.random.default_rng(seed))
-            rows, sims = found(search, vec.astype(np.float64), vec, ids, np.full(len(vec), np.inf))
+            rows, sims = search.run(vec, ids, np.full(len(vec), np.inf))
             # Copies of the vector itself are its nearest; what they leave open bounds the reach.
             kth = np.sort(sims, axis=1)[:, ::-1][:, k - 1]
             reach = np.where(kth > -2, np.arccos(np.clip(kth, -1, 1)), np.pi)
@@ -230,16 +249,20 @@ class VantagePointNeighbours:
                 return pd.DataFrame({"rep": [], "ids": [], "sims": []}, dtype=object)
             vec, ids = _unpack(points["vec"], dims), points["rep"].to_numpy()
             search = _Search(vec, ids, width, factor, np.random.default_rng(seed))
-            rows, sims = found(search, vec.astype(np.float64), _unpack(asked["vec"], dims), asked["rep"].to_numpy(), asked["reach"].to_numpy())
+            rows, sims = search.run(_unpack(asked["vec"], dims), asked["rep"].to_numpy(), asked["reach"].to_numpy())
             good = sims > -2
             return pd.DataFrame({"rep": asked["rep"].to_numpy(), "ids": [ids[r[g]] for r, g in zip(rows, good)], "sims": [s[g] for s, g in zip(sims, good)]})
 
-        other = (placed.groupBy("shard").cogroup(once.where("to >= 0").withColumnRenamed("to", "shard").select("shard", "rep", "vec", "reach").groupBy("shard"))
-                 .applyInPandas(again, "rep long, ids array<long>, sims array<double>"))
+        # A shard that many vectors ask for is searched by several tasks, each with the shard's points and a part of them.
+        routed = once.where("to >= 0").select(F.col("to").alias("shard"), "rep", "vec", "reach")
+        parts = routed.groupBy("shard").agg(F.ceil(F.count("*") / self.queries).cast("int").alias("parts"))
+        asked = routed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+        points_of = placed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        other = points_of.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(again, "rep long, ids array<long>, sims array<double>")
         both = once.where("to < 0").select("rep", "ids", "sims").unionByName(other)
         # At most (shards visited) x (k + 3) candidates a vector.
         near = (both.groupBy("rep").agg(F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("c"))
-                .select("rep", F.slice(F.array_sort(F.transform("c", lambda x: F.struct((-x["sims"]).alias("less"), x["ids"].alias("id")))), 1, k).alias("c")))
+                .select("rep", F.slice(F.array_sort(F.transform("c", lambda x: F.struct(F.round(-x["sims"], DIGITS).alias("less"), x["ids"].alias("id")))), 1, k).alias("c")))
         ids = groups.select("rep", "ids")
         pairs = near.select("rep", F.explode("c").alias("c")).select("rep", F.col("c.id").alias("near"), (-F.col("c.less")).alias("sim"))
         expanded = (pairs.join(ids.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids")), "near")
