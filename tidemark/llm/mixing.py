@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -25,21 +25,26 @@ def source_name(source: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(source, "[ \\s]+", " ")))
 
 
-def token_counts(vocabulary: str):
-    """For ``mapInPandas``: (doc_id, source, tokens), counted with a public byte-level BPE vocabulary file."""
+def token_counts(spark: SparkSession, vocabulary: str):
+    """For ``mapInPandas``: the rows with ``tokens``, counted with a public byte-level BPE vocabulary.
+
+    The file is read here, once, and goes to the workers as a broadcast: they needn't have it.
+    """
+    import public_tokenizers
+
+    with open(vocabulary, "rb") as source:
+        shared = spark.sparkContext.broadcast((source.read(), public_tokenizers.PATTERN))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
-        import public_tokenizers
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("mixing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        lines, pattern = shared.value
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        coder = tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            tokens = [len(coder.encode_ordinary(text)) if text else 0 for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": tokens})
+            yield batch.assign(tokens=[len(coder.encode_ordinary(text)) if text else 0 for text in batch["text"]])
 
     return run
 
@@ -69,7 +74,8 @@ class SourceMixer:
     """Mixes documents so that each source has its target share of the tokens.
 
     ``max_blocks`` bounds the table of blocks, which is all that reaches the driver (with its draws:
-    times the repeats); ``shards`` is the number of output shards.
+    times the repeats); ``shard_tokens``: tokens of an output shard, from which their number follows,
+    unless ``shards`` gives it.
 
     The total size is the tokens of all documents. A source gives ``target_share`` of it, repeated at
     most ``max_repeats`` times; a source that is too small gives all it may. Within one pass no
@@ -82,19 +88,18 @@ class SourceMixer:
     texts have no tokens; null document ids can't be chosen but count; other columns are not read.
     """
 
-    def __init__(self, vocabulary: str, shards: int = 16, max_blocks: int = 16384, seed: int = 11):
-        self.vocabulary, self.shards, self.max_blocks, self.seed = vocabulary, shards, max_blocks, seed
+    def __init__(self, vocabulary: str, shards: int | None = None, max_blocks: int = 16384, seed: int = 11, shard_tokens: int = 20_000_000):
+        self.vocabulary, self.shards, self.max_blocks, self.seed, self.shard_tokens = vocabulary, shards, max_blocks, seed, shard_tokens
 
-    def plan(self, documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(report, draws, tokens of each document).
+    def plan(self, documents: DataFrame, targets: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(report, draws, tokens of each document, with its text if ``texts``).
 
         Report: source, target_share, max_repeats, available (tokens), quota, drawn (tokens), actual_share
         (of the drawn tokens), share_of_total, short. Draws: source, block, pass, shard, place.
         """
         spark = documents.sparkSession
-        sized = materialize(
-            documents.select("doc_id", "source", "text").mapInPandas(token_counts(self.vocabulary), "doc_id long, source string, tokens long")
-            .withColumn("source", source_name(F.col("source"))), "tokens")
+        sized = documents.select("doc_id", "source", "text").mapInPandas(token_counts(spark, self.vocabulary), "doc_id long, source string, text string, tokens long")
+        sized = materialize((sized if texts else sized.drop("text")).withColumn("source", source_name(F.col("source"))), "tokens")
         wanted = (targets.withColumn("source", source_name(F.col("source"))).where("source is not null").groupBy("source")
                   .agg(F.sum("target_share").alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
                   .orderBy("source").toPandas())  # one row per source of the mix
@@ -123,11 +128,12 @@ class SourceMixer:
             draws.append(order)
             drawn.append(got)
         counts = np.array([len(order) for order in draws], np.int64)
-        leaves = split_blocks(counts, self.shards, self.seed) if counts.sum() else np.zeros((self.shards, len(counts)), np.int64)
+        shards = self.shards or max(1, -(-int(sum(drawn)) // self.shard_tokens))
+        leaves = split_blocks(counts, shards, self.seed) if counts.sum() else np.zeros((shards, len(counts)), np.int64)
         rows = []
         ends = leaves.cumsum(axis=0)
         for k, order in enumerate(draws):
-            for shard in range(self.shards):
+            for shard in range(shards):
                 low, high = int(ends[shard, k] - leaves[shard, k]), int(ends[shard, k])
                 rows += [(wanted["source"].iloc[k], block, again, shard, low + i) for i, (block, again) in enumerate(order[low:high])]
         report = wanted.drop(columns="blocks").assign(
@@ -140,13 +146,14 @@ class SourceMixer:
                                                   "drawn long, actual_share double, share_of_total double, short boolean")
         draws_df = spark.createDataFrame(pd.DataFrame(rows, columns=["source", "block", "pass", "shard", "place"]),
                                          "source string, block long, pass int, shard int, place long")
-        return report_df, draws_df, dealt.select("doc_id", "source", "block", "tokens")
+        return report_df, draws_df, dealt.select("doc_id", "source", "block", "tokens", *(["text"] if texts else []))
 
     def mix(self, documents: DataFrame, targets: DataFrame) -> DataFrame:
-        """(shard, source, doc_id, pass, tokens): the mixed records, shuffled within each shard."""
-        _, draws, dealt = self.plan(documents, targets)
+        """(shard, source, doc_id, pass, tokens, text): the mixed records, each shard in a partition of its own and shuffled."""
+        _, draws, dealt = self.plan(documents, targets, texts=True)
+        shards = int(draws.agg(F.max("shard")).first()[0] or 0) + 1
         # At most max_blocks times the repeats rows: bounded, so it may be broadcast.
         mixed = dealt.join(F.broadcast(draws), ["source", "block"])
         return (mixed.withColumn("__order", F.xxhash64("doc_id", "pass", F.lit(self.seed + 1)))
-                .repartition(self.shards, "shard").sortWithinPartitions("shard", "__order")
-                .select("shard", "source", "doc_id", "pass", "tokens"))
+                .repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "__order")
+                .select("shard", "source", "doc_id", "pass", "tokens", "text"))
