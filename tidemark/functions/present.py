@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
@@ -45,3 +45,8 @@ def content_type(start: Column) -> Column:
 
 def envelope(title: Column, url: Column, snippet: Column, score: Column) -> Column:
     return F.to_json(F.struct(F.lit(True).alias("success"), F.struct(title.alias("title"), url.alias("url"), snippet.alias("snippet"), score.alias("score")).alias("data")))
+
+
+def by_host(rows: DataFrame, position: str) -> DataFrame:
+    """(host, n, first_id): results grouped by host; ``first_id`` gives the groups' order of appearance."""
+    return rows.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.min(position).alias("first_id"))

@@ -116,3 +116,12 @@ def stem(word: str) -> str:
     elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
     return word.replace("Y", "y")
+
+
+def stem_legacy(word: str) -> str:
+    """``text.legacy_stem`` for one word: the first of -ing, -ed, -ly, -s (not -ss) that leaves two bytes or more."""
+    size = len(word.encode())
+    for ending, longer_than in (("ing", 4), ("ed", 3), ("ly", 3), ("s", 2)):
+        if word.endswith(ending) and size > longer_than and size - len(ending) >= 2 and not (ending == "s" and word.endswith("ss")):
+            return word[: -len(ending)]
+    return word

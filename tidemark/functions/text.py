@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +23,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
 
 
+def raw_tokens(text: Column) -> Column:
+    """Runs of letters, digits and apostrophes in lower case, before they are trimmed and chosen."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
+
+
+def token(raw: Column) -> Column:
+    """A token without apostrophes at its ends."""
+    return F.btrim(raw, F.lit("'"))
+
+
+def is_term(found: Column) -> Column:
+    """Whether the index takes a token: 2 to 40 bytes, no stop word (one look-up in a set)."""
+    low, high = fixed.TOKEN_BYTES
+    return F.octet_length(found).between(low, high) & ~found.isin(fixed.STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
     """Index tokens before stemming: lower case, runs of letters, digits and apostrophes, 2 to 40 bytes, no stop words."""
-    low, high = fixed.TOKEN_BYTES
-    stop = F.array(*[F.lit(w) for w in fixed.STOP_WORDS])
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}']+"), F.lit(0))
-    bare = F.transform(found, lambda t: F.regexp_replace(t, "^'+|'+$", ""))
-    return F.filter(bare, lambda t: F.octet_length(t).between(low, high) & ~F.array_contains(stop, t))
+    return F.filter(F.transform(raw_tokens(text), token), is_term)
 
 
 def legacy_stem(word: Column) -> Column:
@@ -92,35 +107,79 @@ def embed_text(title: Column, description: Column, headings: Column, body: Colum
     return F.array_join(parts, " ")
 
 
-def snippet(body: Column, terms: list[str], size: int = 300, step: int = 25) -> Column:
-    """The first best window of ``size`` characters every ``step``, cut at blanks; dots mark what is left out.
+def _edge(data: bytes, at: int) -> int:
+    """The first place from ``at`` on where a character begins."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(data))
+
 
-    A window scores one point for each term it holds and one more if it holds it twice; exact on
-    texts of one byte a character.
+def best_window(body: str | None, terms: list[str], originals: list[str] | None = None, size: int = 300, step: int = 25) -> str:
+    """The first best window of ``size`` bytes every ``step``, cut at blanks, with the originals marked; dots mark what is left out.
+
+    A window scores one point for each term (stems and originals) it holds and one more if it holds it
+    twice. Windows are counted in UTF-8 bytes and begin and end with whole characters.
     """
-    text = F.substring(F.coalesce(body, F.lit("")), 1, 1000)
-    low = F.lower(text)
-    length = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(step))
-
-    def score(start: Column) -> Column:
-        window = F.substring(low, start + 1, F.lit(size))
-        points = F.lit(0)
-        for term in terms:
-            twice = F.length(window) - F.length(F.replace(window, F.lit(term), F.lit(""))) > len(term)
-            points = points + F.when(window.contains(term), F.lit(1) + twice.cast("int")).otherwise(0)
-        return points
-
-    scored = F.transform(starts, lambda s: F.struct(score(s).alias("points"), (-s).alias("back")))
-    # The walk over windows ends early at the first whose points equal the number of terms.
-    enough = F.filter(scored, lambda x: x["points"] == len(terms))
-    best = F.when(F.size(enough) > 0, F.struct(F.lit(len(terms)).alias("points"), F.array_max(F.transform(enough, lambda x: x["back"])).alias("back"))).otherwise(F.array_max(scored))
-    first_full = -best["back"]
-    end = F.least(first_full + size, length)
-    cut = F.substring(text, first_full + 1, end - first_full)
-    cut = F.when(first_full > 0, F.regexp_replace(cut, r"^\S*\s+", "")).otherwise(cut)
-    cut = F.when(end < length, F.regexp_replace(cut, r"\s+\S*\z", "")).otherwise(cut)
-    return F.concat(F.when(first_full > 0, "…").otherwise(""), F.trim(cut), F.when(end < length, "…").otherwise(""))
+    if not body:
+        return ""
+    wanted = [t.lower().encode() for t in [*terms, *(originals or [])] if t]
+    data, low = body.encode(), body.lower().encode()
+    best, start, at = 0, 0, 0
+    while at < len(data):
+        window = low[at : _edge(data, at + size)]
+        points = sum((n > 0) + (n > 1) for n in map(window.count, wanted))
+        if points > best:
+            best, start = points, at
+        if points == len(wanted):
+            break
+        at = _edge(data, at + step)
+    end = _edge(data, start + size)
+    shown = data[start:end].decode()
+    if start > 0 and not data[start - 1 : start].isspace():
+        cut = re.search(r"\s", shown)
+        shown = shown[cut.end() :] if cut else shown
+    if end < len(data) and not data[end : end + 1].isspace():
+        cut = re.search(r"\s\S*\Z", shown)
+        shown = shown[: cut.start()] if cut else shown
+    left, right = start > 0, end < len(data)
+    shown = shown.lstrip() if left else shown
+    shown = shown.rstrip() if right else shown
+    return mark(f"{'…' if left else ''}{shown}{'…' if right else ''}", originals if originals is not None else [])
+
+
+def mark(text: str | None, tokens: list[str]) -> str | None:
+    """Every occurrence of any token marked, case kept; marks that overlap or touch are one. One pass a token."""
+    if not text:
+        return text
+    low, spans = text.lower(), []
+    if len(low) != len(text):  # a letter whose lower case is longer: compare letter by letter
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for token_ in dict.fromkeys(t.lower() for t in tokens if t):
+        at = low.find(token_)
+        while at >= 0:
+            spans.append((at, at + len(token_)))
+            at = low.find(token_, at + len(token_))
+    out, cursor = [], 0
+    merged: list[list[int]] = []
+    for first, last in sorted(spans):
+        if merged and first <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    for first, last in merged:
+        out += [text[cursor:first], "<mark>", text[first:last], "</mark>"]
+        cursor = last
+    return "".join([*out, text[cursor:]])
+
+
+def snippet(body: Column, terms: list[str], originals: list[str] | None = None, size: int = 300, step: int = 25) -> Column:
+    """``best_window`` of whole texts of any script, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: best_window(text, terms, originals, size, step))
+
+    return run(body)
 
 
 def highlight(text: Column, token: str) -> Column:
@@ -130,27 +189,13 @@ def highlight(text: Column, token: str) -> Column:
 
 
 def highlight_all(text: Column, tokens: list[str]) -> Column:
-    """Every occurrence of any token marked, case kept; marks that overlap or touch are one.
+    """``mark`` of whole texts, in Arrow batches: overlaps can't be told by one pattern."""
 
-    Overlaps can't be told by one pattern, so each character is marked or not first.
-    """
-    wanted = [t.lower() for t in dict.fromkeys(tokens) if t]
-    if not wanted:
-        return text
-    low = F.lower(text)
-    places = F.sequence(F.lit(1), F.length(text))
-    inside = F.lit(False)
-
-    def covers(place: Column) -> Column:
-        found = inside
-        for token in wanted:
-            start = F.greatest(place - (len(token) - 1), F.lit(1))
-            found = found | F.substring(low, start, F.lit(2 * len(token) - 1) - F.greatest(F.lit(0), F.lit(len(token)) - place)).contains(token)
-        return found
-
-    marked = F.transform(places, lambda p: F.concat(F.when(covers(p), "\u0001").otherwise("\u0002"), F.substring(text, p, F.lit(1))))
-    joined = F.regexp_replace(F.array_join(marked, ""), "(?s)((?:\u0001.)+)", "<mark>$1</mark>")
-    return F.when(F.length(text) > 0, F.regexp_replace(joined, "[\u0001\u0002]", "")).otherwise(text)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda value: mark(value, tokens))
+
+    return run(text)
 
 
 def stop_word_language(body: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import fixed, text, urls
+from tidemark.functions.stem import stem, stem_legacy
 
 
 def query_tokens(query: str) -> list[str]:
@@ -21,6 +22,22 @@ def query_tokens(query: str) -> list[str]:
     return [t for t in found if low <= len(t.encode()) <= high and t not in fixed.STOP_WORDS]
 
 
+def query_terms(query: str, stemmer: str = "none") -> list[str]:
+    """The terms a query asks an index for: each word's stem, and its legacy stem where that differs."""
+    words = query_tokens(query)
+    if stemmer == "none":
+        return words
+    out = []
+    for word in words:
+        legacy = stem_legacy(word)
+        if stemmer == "legacy":
+            out.append(legacy)
+        else:
+            own = stem(word)
+            out += [own] if own == legacy else [own, legacy]
+    return out
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
 
@@ -53,10 +70,10 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_id", score: str = "score")
     return scored.orderBy(F.col(score).desc(), key).limit(k)
 
 
-def bm25_search(posts: DataFrame, doc_lengths: DataFrame, stats: DataFrame, store: DataFrame, query: str, k: int, key: str = "doc_id") -> DataFrame:
-    """(key, title, url, score): the 4k best by BM25, then the k best with the title bonus."""
+def bm25_search(posts: DataFrame, doc_lengths: DataFrame, stats: DataFrame, store: DataFrame, query: str, k: int, key: str = "doc_id", stemmer: str = "none") -> DataFrame:
+    """(key, title, url, score): the 4k best by BM25 over the stems, then the k best with the title bonus for the words as typed."""
     tokens = query_tokens(query)
-    pool = top_k(bm25_scores(posts, doc_lengths, stats, tokens, key), 4 * k, key)
+    pool = top_k(bm25_scores(posts, doc_lengths, stats, query_terms(query, stemmer), key), 4 * k, key)
     full = store.join(F.broadcast(pool), key)  # 4k rows
     return top_k(full.withColumn("score", F.col("score") + text.title_bonus(F.col("title"), tokens, query, F.col("score"))).select(key, "title", "url", "score"), k, key)
 
@@ -183,27 +200,28 @@ def url_boost(url: Column, title: Column, query: str) -> Column:
     return F.when(urls.host(url).isNull(), 0.0).otherwise(total)
 
 
-def freshness(fused: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds a little by the key's share of the largest key in the list, the key taken as unsigned.
+def freshness(fused: DataFrame, key: str = "doc_id", group: list[str] | None = None) -> DataFrame:
+    """Adds a little by the key's share of the largest key in its list (``group``), the key taken as unsigned.
 
     Kept for equal results: keys are hashes, so it tells nothing of age. Added in single precision.
     """
+    group = group or []
     unsigned = F.when(F.col(key) < 0, F.col(key).cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.col(key).cast("decimal(20,0)"))
-    top = fused.agg(F.max(unsigned).alias("__top"))
+    top = fused.groupBy(*group).agg(F.max(unsigned).alias("__top"))
     add = (F.lit(fixed.BOOST["freshness"]) * unsigned.cast("double") / F.col("__top").cast("double")).cast("float")
-    return (fused.crossJoin(F.broadcast(top))  # one row
-            .withColumn("score", (F.col("score").cast("float") + F.when(F.col("__top") > 0, add).otherwise(F.lit(0.0).cast("float"))).cast("float")).drop("__top"))
+    beside = fused.join(top, group) if group else fused.crossJoin(F.broadcast(top))  # one row
+    return beside.withColumn("score", (F.col("score").cast("float") + F.when(F.col("__top") > 0, add).otherwise(F.lit(0.0).cast("float"))).cast("float")).drop("__top")
 
 
-def dedup_by_url(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The best row of each address key; equal scores: the smaller key."""
+def dedup_by_url(rows: DataFrame, key: str = "doc_id", group: list[str] | None = None) -> DataFrame:
+    """The best row of each address key in each list (``group``); equal scores: the smaller key."""
     columns = rows.columns
-    best = rows.groupBy(urls.url_key(F.col("url")).alias("__key")).agg(
+    best = rows.groupBy(*(group or []), urls.url_key(F.col("url")).alias("__key")).agg(
         F.max_by(F.struct(*columns), F.struct("score", (-F.col(key)).alias("less"))).alias("__row"))
     return best.select("__row.*")
 
 
-def cap_domains(rows: DataFrame, query: str, key: str = "doc_id", usual: int = 3, navigation: int = 10) -> DataFrame:
+def cap_domains(rows: DataFrame, query: str, key: str = "doc_id", usual: int = 3, navigation: int = 10, group: list[str] | None = None) -> DataFrame:
     """At most three rows of a registered domain, ten while rows match the query's name, in order of score.
 
     A row is taken as long as its domain has given fewer rows than the row's own limit. In closed
@@ -214,7 +232,7 @@ def cap_domains(rows: DataFrame, query: str, key: str = "doc_id", usual: int = 3
     name = F.coalesce(urls.domain_name(F.col("url")), F.lit(""))
     match = (name != "") & (name.isin(solid, low) | (F.lit(len(low.encode()) >= 4) & name.startswith(low)))
     root = F.coalesce(urls.root_domain(F.lower(urls.host(F.col("url")))), F.lit(""))
-    order = Window.partitionBy("__root").orderBy(F.col("score").desc(), key)
+    order = Window.partitionBy(*(group or []), "__root").orderBy(F.col("score").desc(), key)
     numbered = rows.withColumn("__root", root).withColumn("__nav", match).withColumn("__n", F.row_number().over(order))
     later = F.sum((F.col("__nav") & (F.col("__n") > usual)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return numbered.withColumn("__later", later).where((F.col("__n") <= usual) | (F.col("__nav") & (F.col("__later") <= navigation - usual))).select(*rows.columns)
@@ -235,18 +253,35 @@ def pool_size(limit: int) -> int:
     return max(200, 4 * limit)
 
 
-def weighted_fusion(text_hits: DataFrame, near_hits: DataFrame, alpha: float, key: str = "doc_id") -> DataFrame:
-    """(key, score): alpha times the min-max scaled text score plus the rest times the cosine moved to 0..1."""
-    alpha = min(1.0, max(0.0, alpha))
-    ends = text_hits.agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
+def min_max(rows: DataFrame, group: list[str] | None = None, score: str = "score") -> DataFrame:
+    """``rows`` with ``score`` scaled to 0..1 within each list (``group``); a list without spread gets ones."""
+    group = group or []
+    ends = rows.groupBy(*group).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    beside = rows.join(ends, group) if group else rows.crossJoin(F.broadcast(ends))  # one row
     span = F.col("__hi") - F.col("__lo")
-    scaled = (text_hits.crossJoin(F.broadcast(ends))  # one row
-              .select(key, F.when(span < 1.2e-7, 1.0).otherwise((F.col("score") - F.col("__lo")) / span).alias("t")))
-    moved = near_hits.select(key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 1) / 2)).alias("v"))
-    return scaled.join(moved, key, "full").select(key, (alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score"))
+    return beside.withColumn(score, F.when(span < 1.2e-7, 1.0).otherwise((F.col(score) - F.col("__lo")) / span)).drop("__lo", "__hi")
+
 
+def weighted_fusion(text_hits: DataFrame, near_hits: DataFrame, alpha: float, key: str = "doc_id", group: list[str] | None = None) -> DataFrame:
+    """(group, key, score): alpha times the min-max scaled text score plus the rest times the cosine moved to 0..1."""
+    alpha, keys = min(1.0, max(0.0, alpha)), [*(group or []), key]
+    scaled = min_max(text_hits.select(*keys, "score"), group).withColumnRenamed("score", "t")
+    moved = near_hits.select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 1) / 2)).alias("v"))
+    return scaled.join(moved, keys, "full").select(*keys, (alpha * F.coalesce("t", F.lit(0.0)) + (1 - alpha) * F.coalesce("v", F.lit(0.0))).alias("score"))
 
 
+def mean_pooled(tokens: Column, mask: Column, dims: int) -> Column:
+    """The mean of the token vectors whose mask is set, at unit length, cut or padded with zeros to ``dims``.
+
+    ``tokens`` is an array of vectors, ``mask`` one number for each; a mask that is all zero gives zeros.
+    """
+    weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double")), F.lit(1e-9))
+    zero = F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0))
+    weighted = F.zip_with(tokens, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * F.coalesce(m, F.lit(0)).cast("double")))
+    summed = F.aggregate(weighted, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    unit = normalized(F.transform(summed, lambda x: x / weight))
+    return F.slice(F.concat(unit, F.array_repeat(F.lit(0.0), dims)), 1, dims)
+
 
 def hash_embedding(text_column: Column, dims: int = 384) -> Column:
     """A unit vector that depends on the text only: what stands in for an encoder that isn't there."""
@@ -254,6 +289,66 @@ def hash_embedding(text_column: Column, dims: int = 384) -> Column:
     return normalized(raw)
 
 
+def fit_cells(vectors: DataFrame, cells: int, sample: int = 10_000, vector: str = "embedding", rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Centres of at most ``cells`` cells, fitted on a sample of at most ``sample`` vectors; all vectors are indexed by them."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(vector).limit(sample).collect()  # bounded by ``sample``
+    sizes = [len(r[0]) for r in rows]
+    if not sizes:
+        return np.empty((0, 0))
+    points = np.array([r[0] for r in rows if len(r[0]) == max(set(sizes), key=sizes.count)], np.float64)
+    rng = np.random.default_rng(seed)
+    centres = points[rng.choice(len(points), min(cells, len(points)), replace=False)]
+    for _ in range(rounds):
+        own = (points @ centres.T).argmax(axis=1)
+        for k in range(len(centres)):
+            if (own == k).any():
+                mean = points[own == k].mean(axis=0)
+                centres[k] = mean / max(np.linalg.norm(mean), 1e-12)
+    return centres
+
+
+def centre_matrix(centres: DataFrame) -> np.ndarray:
+    """Centres (cell, centre) as a matrix: as many rows as there are cells."""
+    return np.array([r["centre"] for r in centres.orderBy("cell").collect()], np.float64)
+
+
+def assign_cells(vectors: DataFrame, centres: np.ndarray, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(key, vector, cell): each vector in the cell of the most similar centre; those of another length are left out."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # cells x numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(cell=(np.stack(batch[vector].to_numpy()).astype(np.float64) @ shared.value.T).argmax(axis=1).astype(np.int32))
+
+    rows = vectors.select(key, vector).where(F.size(vector) == (centres.shape[1] if centres.size else -1))
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(run, f"{key} {kinds[key]}, {vector} {kinds[vector]}, cell int")
+
+
+def nearest_cells(placed: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int = 16, key: str = "doc_id", vector: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
+    """(key, score): about the k nearest, exactly compared within the ``probes`` cells nearest to the query; only these are read."""
+    order = np.argsort(-(centres @ np.asarray(query, np.float64)), kind="stable")[:probes] if centres.size else []
+    return nearest(placed.where(F.col("cell").isin([int(c) for c in order])), query, k, key, vector, allowed)
+
+
+def nearest_cells_batch(placed: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 16, key: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
+    """(query, key, score): about the k nearest for each query vector: it meets the vectors of its ``probes`` nearest cells only."""
+    shared = placed.sparkSession.sparkContext.broadcast(centres)
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                cells = np.argsort(-(np.stack(batch["qv"].to_numpy()).astype(np.float64) @ shared.value.T), axis=1, kind="stable")[:, :probes]
+                yield batch.assign(cells=list(cells.astype(np.int32)))
+
+    asked = queries.where(F.size(vector) == (centres.shape[1] if centres.size else -1)).select(query, F.col(vector).cast("array<double>").alias("qv"))
+    asked = asked.mapInPandas(probe, f"{query} long, qv array<double>, cells array<int>").select(query, "qv", F.explode("cells").alias("cell"))
+    scored = asked.join(placed, "cell").select(query, key, dot(F.col(vector), F.col("qv")).alias("score"))
+    place = Window.partitionBy(query).orderBy(F.col("score").desc(), key)
+    return scored.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).drop("n")
+
+
 def nearest_lsh(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vector: str = "embedding", tables: int = 8, width: float = 0.5) -> DataFrame:
     """(key, score): about the k nearest, by random projections; for unit vectors, whose distance orders like the dot product."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

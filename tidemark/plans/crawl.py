@@ -41,11 +41,12 @@ def robots_allowed(links: DataFrame, rules: DataFrame, url: str = "url") -> Data
     return links.join(decided, url, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
 
 
-def frontier(seeds: DataFrame, graph: DataFrame, known: DataFrame | None = None, rounds: int = 10) -> DataFrame:
+def frontier(seeds: DataFrame, graph: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(url, depth): pages that a crawl from ``seeds`` (url, depth_limit, scope) reaches over ``graph`` (src, dst), breadth first.
 
     Known pages aren't fetched again, but seeds are. Each round is one anti-join with what was seen;
-    the seen set is written, so neither plans nor lineage grow.
+    the seen set is written, so neither plans nor lineage grow. It goes on until no new page is in reach
+    of a seed's depth limit.
     """
     level = (seeds.select(urls.normal_link(F.col("url")).alias("url"), F.col("depth_limit"), "scope").where("url is not null")
              .withColumn("seed_host", F.lower(urls.host(F.col("url")))).groupBy("url").agg(F.max(F.struct("depth_limit", "scope", "seed_host")).alias("s"))
@@ -54,7 +55,8 @@ def frontier(seeds: DataFrame, graph: DataFrame, known: DataFrame | None = None,
     seen, levels = materialize(level, "level"), []
     levels.append(seen)
     barred = known.select(urls.normal_link(F.col("url")).alias("dst")) if known is not None else None
-    for depth in range(1, rounds + 1):
+    deepest = levels[0].agg(F.max("depth_limit")).first()[0] or 0
+    for depth in range(1, deepest + 1):
         out = levels[-1].where(F.col("depth_limit") >= depth).join(edges, F.col("url") == F.col("src")).where(~urls.should_skip(F.col("dst")))
         out = out.where(urls.in_scope(F.col("dst"), F.col("scope"), F.col("seed_host")))
         if barred is not None:
@@ -74,7 +76,13 @@ def frontier(seeds: DataFrame, graph: DataFrame, known: DataFrame | None = None,
     return result.select("url", "depth")
 
 
-def within_rate(requests: DataFrame, per_second: int, domain: str = "domain", at: str = "ts") -> DataFrame:
-    """The first ``per_second`` requests of each domain and second."""
-    order = Window.partitionBy(domain, F.date_trunc("second", F.col(at))).orderBy(at, *[c for c in requests.columns if c not in (domain, at)][:1])
-    return requests.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_second).drop("__n")
+def within_rate(requests: DataFrame, limit: int, domain: str = "domain", at: str = "ts", unit: str = "second", order: str | None = None) -> DataFrame:
+    """The first ``limit`` requests of each domain and ``unit`` of time; equal times follow ``order``."""
+    place = Window.partitionBy(domain, F.date_trunc(unit, F.col(at))).orderBy(at, order or [c for c in requests.columns if c not in (domain, at)][0])
+    return requests.withColumn("__n", F.row_number().over(place)).where(F.col("__n") <= limit).drop("__n")
+
+
+def counters(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: pages crawled, documents fetched, different documents."""
+    crawled = pages.agg(F.count("*").alias("crawled"))
+    return docs.agg(F.count("*").alias("fetched"), F.count_distinct("id").alias("indexed")).crossJoin(F.broadcast(crawled))  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ class SearchEngine:
     at the end. Without vectors or a query vector a hybrid search is a text search.
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, store: DataFrame, vectors: DataFrame | None = None):
+    def __init__(self, postings: DataFrame, lengths: DataFrame, store: DataFrame, vectors: DataFrame | None = None,
+                 stemmer: str = "none", centres: np.ndarray | None = None, probes: int = 16):
         self.postings, self.lengths, self.store, self.vectors = postings, lengths, store, vectors
+        self.stemmer, self.centres, self.probes = stemmer, centres, probes
         self.stats = ix.corpus_stats(lengths)
 
     @classmethod
@@ -27,21 +30,29 @@ class SearchEngine:
         """An engine over documents (doc_id, url, title, body, headings, meta_description), indexed once."""
         posts = materialize(ix.postings(docs, fixed.FIELD_WEIGHTS, stemmer=stemmer), "postings")
         store = docs.select("doc_id", "url", "title", text.preview(F.col("body")).alias("preview"))
-        return cls(posts, materialize(ix.lengths(posts), "lengths"), materialize(store, "store"), vectors)
+        return cls(posts, materialize(ix.lengths(posts), "lengths"), materialize(store, "store"), vectors, stemmer)
 
     @classmethod
     def open(cls, index: ix.Index, vectors: DataFrame | None = None) -> SearchEngine:
-        """Over what an index on disk has published by now."""
-        return cls(index.table("postings"), index.table("lengths"), index.table("docstore"), vectors)
+        """Over what an index on disk has published by now: one version, whatever is appended later.
+
+        Vectors of the index are searched by cells; ``vectors`` given here are searched exactly.
+        """
+        version, centres = index.store.attempt(), None
+        if vectors is None and (vectors := version.read("vectors")) is not None:
+            centres = se.centre_matrix(version.read("centres"))
+        return cls(version.read("postings"), version.read("lengths"), version.read("docstore"), vectors, index.stemmer, centres)
 
     def _text(self, query: str, limit: int, pool: int, drop_errors: bool) -> DataFrame:
-        found = se.bm25_search(self.postings, self.lengths, self.stats, self.store, query, pool)
+        found = se.bm25_search(self.postings, self.lengths, self.stats, self.store, query, pool, stemmer=self.stemmer)
         found = found.where(~urls.is_junk(F.col("url"), F.col("title")))
         if drop_errors:
             found = found.where(~urls.is_error(F.col("title")))
         return se.top_k(found, limit)
 
     def _near(self, vector: list[float], k: int, allowed: DataFrame | None = None) -> DataFrame:
+        if self.centres is not None and allowed is None:
+            return se.nearest_cells(self.vectors, self.centres, vector, k, self.probes)
         return se.nearest(self.vectors, vector, k, key="doc_id", allowed=allowed)
 
     def search(self, query: str, mode: str = "hybrid", limit: int = 10, offset: int = 0, query_vector: list[float] | None = None) -> DataFrame:
@@ -78,5 +89,5 @@ class SearchEngine:
     def suggest(self, prefix: str, limit: int = 5) -> DataFrame:
         """(doc_id, url, title, score) for what is typed so far: nothing under two bytes, at most ten."""
         limit = min(limit or 5, 10)
-        found = se.bm25_search(self.postings, self.lengths, self.stats, self.store, prefix, limit)
+        found = se.bm25_search(self.postings, self.lengths, self.stats, self.store, prefix, limit, stemmer=self.stemmer)
         return found if len(prefix.encode()) >= 2 else found.limit(0)

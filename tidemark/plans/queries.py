@@ -48,7 +48,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "raw_pages").select("fetch_no", "url", "html", "domain", "status").distinct()
+    return read(spark, d, "raw_pages").select("fetch_no", "url", "html", "domain", "headers").dropDuplicates(["fetch_no"])
 
 
 def rounded(c: str | Column, n: int = 6) -> Column:
@@ -126,10 +126,9 @@ def _(s, d):
     return ix.corpus_stats(ix.lengths(ix.postings(texts(s, d)))).withColumn("avg_len", rounded("avg_len"))
 
 
-@query("posting_lists", f"with {_POSTS} select term, list_sort(list(doc_id)) as doc_ids from posts where term in ('harbour', 'archive', 'hafen') group by 1")
+@query("posting_lists", f"with {_POSTS} select term, (doc_id // 65536)::bigint as block, list_sort(list(doc_id)) as doc_ids from posts group by 1, 2")
 def _(s, d):
-    posts = ix.postings(texts(s, d)).where(F.col("term").isin("harbour", "archive", "hafen"))
-    return posts.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    return ix.posting_lists(ix.postings(texts(s, d)))
 
 
 def _legacy(w: str) -> str:
@@ -168,7 +167,7 @@ def _(s, d):
 
 @query("known_doc_antijoin", "select distinct c.id as doc_id from crawled_docs c where not exists (select 1 from raw_pages r where r.fetch_no = c.fetch_no)")
 def _(s, d):
-    return read(s, d, "crawled_docs").join(read(s, d, "raw_pages").select("fetch_no"), "fetch_no", "left_anti").select(F.col("id").alias("doc_id")).distinct()
+    return ix.unknown(read(s, d, "crawled_docs"), read(s, d, "raw_pages"), "fetch_no").select(F.col("id").alias("doc_id")).distinct()
 
 
 @query("point_lookup", f"select id as doc_id, url, title, left(body, 1000) as preview from {_FIRST} where id = (select min(id) from crawled_docs)")
@@ -228,14 +227,12 @@ def _(s, d):
 
 @query("index_stats", f"with {_POSTS}, {_LENS}, {_STATS} select n_docs, (select count(*) from posts) as postings, (select count(distinct term) from posts) as terms from stats")
 def _(s, d):
-    posts = ix.postings(texts(s, d))
-    return posts.agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+    return ix.index_stats(ix.postings(texts(s, d)))
 
 
 @query("crawl_counters", """select (select count(*) from raw_pages) as crawled, count(*) as fetched, count(distinct id) as indexed from crawled_docs""")
 def _(s, d):
-    crawled = read(s, d, "raw_pages").agg(F.count("*").alias("crawled"))
-    return read(s, d, "crawled_docs").agg(F.count("*").alias("fetched"), F.count_distinct("id").alias("indexed")).crossJoin(F.broadcast(crawled))  # one row
+    return crawl.counters(read(s, d, "raw_pages"), read(s, d, "crawled_docs"))
 
 
 # ---- search ----------------------------------------------------------------------------------------
@@ -264,6 +261,46 @@ def _(s, d):
     return se.top_k(se.bm25_scores(posts, lens, ix.corpus_stats(lens), se.query_tokens(PROBE)), 50).withColumn("score", rounded("score"))
 
 
+def _written(s, d, parts: int = 2, stemmer: str = "none") -> ix.Index:
+    """An index on disk of the documents that it admits, appended in ``parts`` deltas by order of fetching."""
+    from tidemark.session import scratch_path
+
+    index, store = ix.Index(s, scratch_path(s, "index"), stemmer), docs(s, d)
+    low, high = store.select(F.min("fetch_no"), F.max("fetch_no")).first()
+    for k in range(parts):
+        inside = F.floor((F.col("fetch_no") - low) * parts / (high + 1 - low)) == k if low is not None else F.lit(True)
+        index.add(store.where(inside))
+    return index
+
+
+_ADMITTED = _ADMIT.replace("with w as", "w as").replace("select fetch_no, not coalesce(", ", adm as (select fetch_no, not coalesce(") + ")"
+_KEPT = f"""{_ADMITTED}, kept as (select c.* from {_FIRST} c join adm using (fetch_no) where admitted)"""
+_INDEX = f"""with {_KEPT}, {_FIELDS.replace(_FIRST, 'kept')}, {_LENS}, {_STATS}"""
+
+
+@query("index_postings", f"{_INDEX} select * from posts")
+def _(s, d):
+    return _written(s, d).table("postings")
+
+
+@query("index_docstore", f"{_INDEX} select id as doc_id, url, title, left(body, 1000) as preview from kept")
+def _(s, d):
+    return _written(s, d).table("docstore")
+
+
+@query("index_corpus", f"{_INDEX} select n_docs, total_len::bigint as total_len, round(avg_len, 6) as avg_len from stats")
+def _(s, d):
+    index = _written(s, d, 3)
+    index.compact()
+    return index.stats().withColumn("avg_len", rounded("avg_len"))
+
+
+@query("index_search", f"{_INDEX}, {_bm25('posts', PROBE.split())} select doc_id, round(score, 6) as score from scored order by scored.score desc, doc_id limit 50")
+def _(s, d):
+    index = _written(s, d)
+    return se.top_k(se.bm25_scores(index.table("postings"), index.table("lengths"), index.stats(), se.query_terms(PROBE, index.stemmer)), 50).withColumn("score", rounded("score"))
+
+
 @query("bm25_snowball")
 def _(s, d):
     posts = ix.postings(texts(s, d), stemmer="snowball")
@@ -308,20 +345,19 @@ def _(s, d):
     return _text_search(s, d, TITLE_PROBE, 40).orderBy(F.col("score").desc(), "doc_id").offset(20).limit(20)
 
 
-@query("snippet_ascii")
+@query("snippet_full")
 def _(s, d):
-    plain = read(s, d, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return plain.select("doc_id", text.snippet(F.col("text"), PROBE.split()).alias("snippet"))
+    return read(s, d, "documents").select("doc_id", text.snippet(F.col("text"), se.query_terms("harbours map archived", "snowball"), se.query_tokens("harbours map archived")).alias("snippet"))
 
 
-@query("highlight_single", r"select doc_id, regexp_replace(left(text, 1000), '((?:harbour)+)', '<mark>\1</mark>', 'gi') as marked from documents")
+@query("highlight_single", r"select doc_id, regexp_replace(text, '((?:harbour)+)', '<mark>\1</mark>', 'gi') as marked from documents")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", text.highlight(F.substring("text", 1, 1000), "harbour").alias("marked"))
+    return read(s, d, "documents").select("doc_id", text.highlight(F.col("text"), "harbour").alias("marked"))
 
 
-@query("highlight_many")
+@query("highlight_many", r"select doc_id, regexp_replace(text, '((?:harbour map|harbour|our map|map)+)', '<mark>\1</mark>', 'gi') as marked from documents")
 def _(s, d):
-    return read(s, d, "documents").select("doc_id", text.highlight_all(F.substring("text", 1, 300), ["harbour", "our map", "map"]).alias("marked"))
+    return read(s, d, "documents").select("doc_id", text.highlight_all(F.col("text"), ["harbour", "our map", "map"]).alias("marked"))
 
 
 @query("stop_word_language")
@@ -334,11 +370,6 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", rounded(se.l2_norm(se.hash_embedding(F.col("text"), 64))).alias("norm"))
 
 
-@query("ann_lsh")
-def _(s, d):
-    return se.nearest_lsh(read(s, d, "embeddings"), _probe_vector(s, d), 10).withColumn("score", rounded("score"))
-
-
 def _probe_vector(s, d) -> list[float]:
     return [float(x) for x in read(s, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]]
 
@@ -375,6 +406,15 @@ def _(s, d):
     return se.nearest_batch(e, asked, 5).withColumn("score", rounded("score"))
 
 
+@query("ann_cells")
+def _(s, d):
+    """Every fiftieth vector against all, by cells; the tests hold its recall against ``knn_batch``."""
+    e = read(s, d, "embeddings")
+    centres = se.fit_cells(e, 32)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
+    return se.nearest_cells_batch(se.assign_cells(e, centres, "vec_id"), centres, asked, 5).withColumn("score", rounded("score"))
+
+
 @query("l2_norms", "select vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) as norm from embeddings")
 def _(s, d):
     return read(s, d, "embeddings").select("vec_id", rounded(se.l2_norm(F.col("embedding"))).alias("norm"))
@@ -387,14 +427,15 @@ def _(s, d):
     return v.select("rec_no", rounded(F.aggregate(se.normalized(F.col("embedding")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("mean_pooling", """with e as (select label, unnest(embedding) as x, unnest(range(64)) as i from embeddings),
-m as (select label, i, avg(x::double) as m from e group by 1, 2), n as (select label, sqrt(sum(m * m)) as size from m group by 1)
-select label, i::int as i, round(m / size, 6) as x from m join n using (label)""")
+@query("masked_mean_pooling", """with t as (select vec_id, j, i, embedding[j * 8 + i + 1]::double as x, embedding[j * 8 + 1] > 0 as on_ from embeddings, range(8) a(j), range(8) b(i)),
+m as (select vec_id, i, coalesce(sum(x) filter (on_), 0) / greatest(count(*) filter (on_), 1e-9) as m from t group by 1, 2),
+n as (select vec_id, i, m / case when sqrt(sum(m * m) over (partition by vec_id)) > 1e-8 then sqrt(sum(m * m) over (partition by vec_id)) else 1 end as x from m)
+select vec_id, list(round(case when i < 8 then x else 0 end, 6) order by i) as pooled from (select * from n union all select vec_id, 8 + z.i, 0 from embeddings, range(4) z(i)) group by 1""")
 def _(s, d):
-    spread = read(s, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    mean = spread.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    size = mean.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("size"))
-    return mean.join(size, "label").select("label", "i", rounded(F.col("m") / F.col("size")).alias("x"))
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.slice("embedding", j * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (F.get("embedding", j * 8) > 0).cast("int"))
+    pooled = se.mean_pooled(tokens, mask, 12)
+    return read(s, d, "embeddings").select("vec_id", F.transform(pooled, lambda x: F.round(x, 6)).alias("pooled"))
 
 
 def _lists(s, d) -> DataFrame:
@@ -428,27 +469,21 @@ def _(s, d):
   select query_id, list_no, doc_id, s, min(s) over w as lo, max(s) over w as hi from (select distinct query_id, list_no, doc_id, score::double as s from ranked_lists where score is not null)
   window w as (partition by query_id, list_no))""")
 def _(s, d):
-    r = read(s, d, "ranked_lists").where("score is not null").select("query_id", "list_no", "doc_id", F.col("score").cast("double").alias("s")).distinct()
-    ends = r.groupBy("query_id", "list_no").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    return r.join(ends, ["query_id", "list_no"]).select("query_id", "list_no", "doc_id", rounded(F.when(span < 1.2e-7, 1.0).otherwise((F.col("s") - F.col("lo")) / span)).alias("score"))
-
+    r = read(s, d, "ranked_lists").where("score is not null").select("query_id", "list_no", "doc_id", F.col("score").cast("double").alias("score")).distinct()
+    return se.min_max(r, ["query_id", "list_no"]).select("query_id", "list_no", "doc_id", rounded("score").alias("score"))
 
-_TWO = "with a as (select doc_id, max(score)::double as score from ranked_lists where query_id = 50 and list_no = 0 and score is not null group by 1), b as (select doc_id, max(score)::double as score from ranked_lists where query_id = 50 and list_no = 1 and score is not null group by 1)"
 
-
-def _two(s, d) -> tuple[DataFrame, DataFrame]:
-    r = read(s, d, "ranked_lists").where("query_id = 50 and score is not null")
-    return tuple(r.where(f"list_no = {k}").groupBy("doc_id").agg(F.max("score").cast("double").alias("score")) for k in (0, 1))  # type: ignore[return-value]
-
-
-@query("weighted_fuse", _TWO + """, e as (select min(score) as lo, max(score) as hi from a)
-select coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(case when hi - lo < 1.2e-7 then 1.0 else (a.score - lo) / (hi - lo) end, 0)
-  + case when b.score is null then 0 else 0.4 * greatest(0.0, least(1.0, (b.score + 1) / 2)) end, 6) as score from a full join b on a.doc_id = b.doc_id cross join e""")
+@query("weighted_fuse", """with t as (select query_id, list_no, doc_id, max(score)::double as score from ranked_lists where score is not null and list_no in (0, 1) group by 1, 2, 3),
+a as (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from t where list_no = 0), b as (select * from t where list_no = 1)
+select coalesce(a.query_id, b.query_id) as query_id, coalesce(a.doc_id, b.doc_id) as doc_id, round(0.6 * coalesce(case when hi - lo < 1.2e-7 then 1.0 else (a.score - lo) / (hi - lo) end, 0)
+  + case when b.score is null then 0 else 0.4 * greatest(0.0, least(1.0, (b.score + 1) / 2)) end, 6) as score from a full join b on a.doc_id = b.doc_id and a.query_id = b.query_id""")
 def _(s, d):
-    return se.weighted_fusion(*_two(s, d), 0.6).withColumn("score", rounded("score"))
+    r = read(s, d, "ranked_lists").where("score is not null").groupBy("query_id", "list_no", "doc_id").agg(F.max("score").cast("double").alias("score"))
+    return se.weighted_fusion(r.where("list_no = 0"), r.where("list_no = 1"), 0.6, group=["query_id"]).withColumn("score", rounded("score"))
 
 
+#: One list of one query.
+_LIST = ["query_id", "list_no"]
 _URLS = "(select distinct url, max(title) as title, min(doc_id) as doc_id from ranked_lists group by url)"
 
 
@@ -459,11 +494,11 @@ def _urls(s, d) -> DataFrame:
 _KEY = r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '^www\.', ''), '[?#].*', ''), '/+$', ''))"
 
 
-@query("dedup_by_url", f"""with s as (select url, max(score)::double as score, min(doc_id) as doc_id, max(title) as title from ranked_lists where score is not null and list_no = 1 group by 1)
-select url, doc_id, round(score, 6) as score from s qualify row_number() over (partition by {_KEY} order by s.score desc, doc_id) = 1""")
+@query("dedup_by_url", f"""with s as (select query_id, list_no, url, max(score)::double as score, min(doc_id) as doc_id from ranked_lists where score is not null group by 1, 2, 3)
+select query_id, list_no, url, doc_id, round(score, 6) as score from s qualify row_number() over (partition by query_id, list_no, {_KEY} order by s.score desc, doc_id) = 1""")
 def _(s, d):
-    r = read(s, d, "ranked_lists").where("score is not null and list_no = 1").groupBy("url").agg(F.max("score").cast("double").alias("score"), F.min("doc_id").alias("doc_id"), F.max("title").alias("title"))
-    return se.dedup_by_url(r).select("url", "doc_id", rounded("score").alias("score"))
+    r = read(s, d, "ranked_lists").where("score is not null").groupBy(*_LIST, "url").agg(F.max("score").cast("double").alias("score"), F.min("doc_id").alias("doc_id"))
+    return se.dedup_by_url(r, group=_LIST).select(*_LIST, "url", "doc_id", rounded("score").alias("score"))
 
 
 def _root_sql(name: str) -> str:
@@ -472,22 +507,22 @@ def _root_sql(name: str) -> str:
   else array_to_string(list_slice({labels}, -2, -1), '.') end"""
 
 
-@query("domain_cap", f"""with s as (select doc_id, any_value(url) as url, max(score)::double as score from ranked_lists where score is not null and list_no = 1 group by 1),
+@query("domain_cap", f"""with s as (select query_id, list_no, doc_id, any_value(url) as url, max(score)::double as score from ranked_lists where score is not null group by 1, 2, 3),
 p as (select *, {_HOST.format('url')} as host from s),
 r as (select *, {_root_sql('lower(host)')} as root, starts_with(string_split(regexp_replace(lower(host), '^www\\.', ''), '.')[1], 'kettle') as nav from p),
-n as (select *, row_number() over (partition by root order by score desc, doc_id) as n from r),
-c as (select *, sum((nav and n > 3)::int) over (partition by root order by n) as later from n)
-select doc_id, round(score, 6) as score from c where n <= 3 or (nav and later <= 7)""")
+n as (select *, row_number() over (partition by query_id, list_no, root order by score desc, doc_id) as n from r),
+c as (select *, sum((nav and n > 3)::int) over (partition by query_id, list_no, root order by n) as later from n)
+select query_id, list_no, doc_id, round(score, 6) as score from c where n <= 3 or (nav and later <= 7)""")
 def _(s, d):
-    r = read(s, d, "ranked_lists").where("score is not null and list_no = 1").groupBy("doc_id").agg(F.any_value("url").alias("url"), F.max("score").cast("double").alias("score"))
-    return se.cap_domains(r, "kettle").select("doc_id", rounded("score").alias("score"))
+    r = read(s, d, "ranked_lists").where("score is not null").groupBy(*_LIST, "doc_id").agg(F.any_value("url").alias("url"), F.max("score").cast("double").alias("score"))
+    return se.cap_domains(r, "kettle", group=_LIST).select(*_LIST, "doc_id", rounded("score").alias("score"))
 
 
-@query("freshness_boost", """with s as (select doc_id, max(score)::double as score from ranked_lists where score is not null and list_no = 1 group by 1)
-select doc_id, round((score::float + (0.008 * doc_id / max(doc_id) over ())::float)::float, 4)::double as score from s""")
+@query("freshness_boost", """with s as (select query_id, list_no, doc_id, max(score)::double as score from ranked_lists where score is not null group by 1, 2, 3)
+select query_id, list_no, doc_id, round((score::float + (0.008 * doc_id / max(doc_id) over (partition by query_id, list_no))::float)::float::double, 4) + 0.0 as score from s""")
 def _(s, d):
-    r = read(s, d, "ranked_lists").where("score is not null and list_no = 1").groupBy("doc_id").agg(F.max("score").cast("double").alias("score"))
-    return se.freshness(r).select("doc_id", rounded(F.round("score", 4).cast("double"), 4).alias("score"))
+    r = read(s, d, "ranked_lists").where("score is not null").groupBy(*_LIST, "doc_id").agg(F.max("score").cast("double").alias("score"))
+    return se.freshness(r, group=_LIST).select(*_LIST, "doc_id", (rounded(F.col("score").cast("double"), 4) + 0.0).alias("score"))
 
 
 _BRAND = f"""(strlen(name) <= 20 and not (regexp_matches(name, '[0-9]') and strlen(name) < 4) and not regexp_matches(name, '{_re(fixed.INFRA_NAMES)}')
@@ -521,7 +556,7 @@ def _engine(s, d):
                                            F.array().cast("array<string>").alias("headings"), F.lit(None).cast("string").alias("meta_description"))
     vectors = read(s, d, "vec_records").where("embedding is not null and size(embedding) = 128").groupBy("doc_id").agg(F.min_by("embedding", "rec_no").alias("embedding"))
     vector = vectors.join(store.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").select("embedding").first()
-    return SearchEngine.over(store, vectors), list(vector[0]) if vector else None
+    return SearchEngine.over(store, vectors, "snowball"), list(vector[0]) if vector else None
 
 
 def _hybrid(s, d, words: str, k: int) -> DataFrame:
@@ -540,7 +575,10 @@ def _(s, d):
     return _hybrid(s, d, "harbour map archive index notes", 20)
 
 
-@query("semantic_topk")
+@query("semantic_topk", f"""with v as (select doc_id, arg_min(embedding, rec_no)::double[] as e from vec_records where embedding is not null and len(embedding) = 128 group by 1),
+q as (select e as qe from v where doc_id in (select doc_id from documents) order by doc_id limit 1),
+n as (select doc_id, list_dot_product(e, qe) as s from v, q order by s desc, doc_id limit 10)
+select doc_id, url, left(string_split(text, chr(10))[1], 80) as title, round(s, 6) as score from n join documents using (doc_id)""")
 def _(s, d):
     engine, vector = _engine(s, d)
     return engine.search("", "semantic", 10, query_vector=vector).withColumn("score", rounded("score"))
@@ -635,6 +673,67 @@ def _(s, d):
                     urls.domain_crawl_scope(dom).alias("scope"), urls.rank_priority(rank).alias("priority"))
 
 
+_KNOWN = "(select regexp_replace(lower(domain), '^www\\.', '') from raw_pages where status = 404)"
+
+
+@query("ranked_domains", f"""select s.* from ({SQL['seed_scoring']}) s join ({SQL['junk_domain_flag']}) j using (domain)
+where not junk and regexp_replace(domain, '^www\\.', '') not in {_KNOWN}""")
+def _(s, d):
+    lines = read(s, d, "crawled_docs").groupBy("domain").agg(F.count("*").alias("n")).select(F.concat_ws(",", "n", "domain").alias("value"))
+    return seeds.ranked_domains(lines, read(s, d, "raw_pages").where("status = 404").select("domain"), 1_000_000).withColumn("score", rounded("score", 4))
+
+
+_BARE = "(select *, regexp_replace(lower(" + _HOST.format("url") + "), '^www\\.', '') as bare from crawled_docs)"
+_JUNK_BARE = SQL["junk_domain_flag"].replace("select distinct domain from crawled_docs", f"select distinct bare as domain from {_BARE} where bare is not null")
+
+
+@query("story_domains", f"""select bare as domain, count(*) as n, arg_min(url, fetch_no) as url from {_BARE} join ({_JUNK_BARE}) j on j.domain = bare
+where not junk and bare not in {_KNOWN} group by 1""")
+def _(s, d):
+    stories = read(s, d, "crawled_docs").select(F.col("fetch_no").alias("pos"), "url")
+    return seeds.story_domains(stories, read(s, d, "raw_pages").where("status = 404").select("domain"), 1_000_000)
+
+
+@query("certificate_domains", f"""with c as (select bare as domain, 3 * count(*) as n from {_BARE} where bare is not null group by 1)
+select domain, n, round({_RICH} * sqrt(n), 4) as score from c join ({_JUNK_BARE}) j using (domain) where not junk and domain not in {_KNOWN}""")
+def _(s, d):
+    host = urls.bare_host(F.col("url"))
+    entries = read(s, d, "crawled_docs").select(F.concat(F.lit("*."), host, F.lit("\nwww."), host).alias("name_value"), F.upper(host).alias("common_name"))
+    return seeds.certificate_domains(entries, read(s, d, "raw_pages").where("status = 404").select("domain"), 1_000_000).withColumn("score", rounded("score", 4))
+
+
+@query("seeds_json", """select fetch_no, url, case when fetch_no % 2 = 0 then 3 else 2 end as depth, case when fetch_no % 2 = 0 then 'normal' else 'high' end as priority, 'any' as scope, fetch_no % 2 = 1 as sitemap
+from crawled_docs where fetch_no % 3 <> 2""")
+def _(s, d):
+    """Seeds as plain addresses, as objects and as text that is no seed."""
+    raw = F.when(F.col("fetch_no") % 3 == 2, F.lit("{broken")).when(F.col("fetch_no") % 2 == 0, F.concat(F.lit('"'), F.col("url"), F.lit('"'))).otherwise(
+        F.to_json(F.struct("url", F.lit(2).alias("depth"), F.lit("High").alias("priority"), F.lit(True).alias("sitemap"))))
+    rows = read(s, d, "crawled_docs").select("fetch_no", "url", raw.alias("raw"))
+    return seeds.seeds(rows).join(rows.where("fetch_no % 3 <> 2").select("fetch_no", F.col("url").alias("u")), F.col("url") == F.col("u")).drop("u").distinct()
+
+
+@query("sitemap_locations", "select distinct domain, url as loc, false as is_index from crawled_docs")
+def _(s, d):
+    """Site maps of up to a thousand addresses a site, as the protocol asks for."""
+    loc = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>"))
+    maps = read(s, d, "crawled_docs").groupBy("domain", F.floor(F.col("fetch_no") / 1000).alias("part")).agg(F.concat_ws("", F.lit("<urlset>"), F.collect_list(loc), F.lit("</urlset>")).alias("xml"))
+    return seeds.sitemap_locations(maps).select("domain", "loc", "is_index").distinct()
+
+
+@query("robots_decisions", f"""with u as (select distinct url, lower({_HOST.format('url')}) as host, coalesce(nullif(regexp_replace({_PATH.format('url')}, '[?#].*', ''), ''), '/') as p from crawled_docs),
+r as (select host, left(min(p), 4) as deny, left(max(p), 6) as allow from u group by 1)
+select url, not (starts_with(p, deny) and (not starts_with(p, allow) or strlen(deny) > strlen(allow))) as allowed from u join r using (host)""")
+def _(s, d):
+    """Two rules a site, the later of which also lets in what the earlier bars where it is as long."""
+    u = read(s, d, "crawled_docs").select("url").distinct()
+    where = F.regexp_replace(urls.path(F.col("url")), "[?#].*", "")
+    where = F.when(F.coalesce(where, F.lit("")) == "", "/").otherwise(where)
+    sites = u.select(F.lower(urls.host(F.col("url"))).alias("domain"), where.alias("p")).groupBy("domain").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    text_lines = F.array(F.lit("User-agent: *  # everybody"), F.concat(F.lit("Disallow: "), F.substring("a", 1, 4)), F.concat(F.lit("allow:"), F.substring("b", 1, 6)))
+    lines = sites.select("domain", F.posexplode(text_lines).alias("line_no", "line"))
+    return crawl.robots_allowed(u, crawl.robots_rules(lines))
+
+
 @query("safe_file_name", "select distinct domain, regexp_replace(domain, '[^A-Za-z0-9.-]', '_', 'g') as name from crawled_docs")
 def _(s, d):
     return read(s, d, "crawled_docs").select("domain", urls.file_name(F.col("domain")).alias("name")).distinct()
@@ -649,11 +748,6 @@ def _(s, d):
     return links.where(urls.in_scope(F.col("link"), F.lit("same_domain"), F.col("domain"))).select("fetch_no", "link").distinct()
 
 
-@query("favicon_first_per_domain", "select domain, arg_min(favicon_url, fetch_no) as favicon_url from crawled_docs where favicon_url is not null group by 1")
-def _(s, d):
-    return read(s, d, "crawled_docs").where("favicon_url is not null").groupBy("domain").agg(F.min_by("favicon_url", "fetch_no").alias("favicon_url"))
-
-
 @query("seed_union_dedup", """with u as (select url, fetch_no as pos, 'crawled' as origin from crawled_docs union all select url, 1000000000 + arrival_no, 'batch' from batch_docs)
 select url, arg_min(origin, pos) as origin from u group by 1""")
 def _(s, d):
@@ -666,13 +760,17 @@ def _(s, d):
 def _(s, d):
     c = read(s, d, "crawled_docs")
     start = c.groupBy("domain").agg(F.min_by("url", "fetch_no").alias("url")).select("url", F.lit(3).alias("depth_limit"), F.lit("any").alias("scope"))
-    return crawl.frontier(start, c.select(F.col("url").alias("src"), F.explode("links").alias("dst")), rounds=3)
+    return crawl.frontier(start, c.select(F.col("url").alias("src"), F.explode("links").alias("dst")))
 
 
 @query("arrival_rate_limit", "select event_id from events qualify row_number() over (partition by event_type, date_trunc('minute', ts) order by ts, event_id) <= 2")
 def _(s, d):
-    order = Window.partitionBy("event_type", F.date_trunc("minute", "ts")).orderBy("ts", "event_id")
-    return read(s, d, "events").withColumn("n", F.row_number().over(order)).where("n <= 2").select("event_id")
+    return crawl.within_rate(read(s, d, "events"), 2, "event_type", "ts", "minute", "event_id").select("event_id")
+
+
+@query("favicon_first_per_domain", "select domain, arg_min(favicon_url, fetch_no) as favicon_url from crawled_docs where favicon_url is not null group by 1")
+def _(s, d):
+    return seeds.first_icon(read(s, d, "crawled_docs"), "fetch_no")
 
 
 # ---- pages -----------------------------------------------------------------------------------------
@@ -688,31 +786,34 @@ def _(s, d):
     return html.extract(read(s, d, "raw_pages")).select("url", F.explode("links").alias("link")).distinct()
 
 
-@query("title_raw", "select distinct fetch_no, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from raw_pages")
+def _fields(s, d, columns: str) -> DataFrame:
+    return html.fields(pages(s, d)).selectExpr("fetch_no", columns).distinct()
+
+
+@query("html_title", r"select distinct fetch_no, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) as title from raw_pages")
 def _(s, d):
-    return pages(s, d).select("fetch_no", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")).distinct()
+    return _fields(s, d, "title")
 
 
-@query("html_lang", """select distinct fetch_no, lower(trim(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1))) as lang from raw_pages""")
+@query("html_lang", """select distinct fetch_no, nullif(lower(trim(regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1))), '') as lang from raw_pages""")
 def _(s, d):
-    return pages(s, d).select("fetch_no", F.lower(F.trim(F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1))).alias("lang")).distinct()
+    return _fields(s, d, "lang")
 
 
-@query("hrefs_distinct", """select distinct fetch_no, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) as href from raw_pages""")
+@query("html_headings", """select distinct fetch_no, len(regexp_extract_all(html, '(?i)<h[1-3][ >]'))::int as headings from raw_pages""")
 def _(s, d):
-    return pages(s, d).select("fetch_no", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("href")).distinct()
+    return _fields(s, d, "size(headings) as headings")
 
 
-@query("favicon_default", "select distinct fetch_no, regexp_extract(url, '^(https?://[^/]*)', 1) || '/favicon.ico' as icon from raw_pages")
+@query("html_favicon", "select distinct fetch_no, regexp_extract(url, '^(https?://[^/]*)', 1) || '/favicon.ico' as icon from raw_pages")
 def _(s, d):
-    return pages(s, d).select("fetch_no", F.concat(F.regexp_extract("url", "^(https?://[^/]*)", 1), F.lit("/favicon.ico")).alias("icon")).distinct()
+    return _fields(s, d, "favicon_url as icon")
 
 
-@query("page_admission", """select distinct fetch_no from raw_pages where status between 200 and 299
+@query("page_admission", """select distinct fetch_no from raw_pages where trim(coalesce(html, '')) <> ''
   and (headers is null or coalesce(headers['content-type'], 'text/html') like '%text/html%' or headers['content-type'] like '%application/xhtml%')""")
 def _(s, d):
-    kind = F.coalesce(F.element_at("headers", "content-type"), F.lit("text/html"))
-    return read(s, d, "raw_pages").where(F.col("status").between(200, 299) & (kind.contains("text/html") | kind.contains("application/xhtml"))).select("fetch_no").distinct()
+    return html.fields(read(s, d, "raw_pages").select("fetch_no", "url", "domain", "html", "headers", "crawled_at")).select("fetch_no").distinct()
 
 
 @query("stream_ingest")
@@ -732,7 +833,7 @@ def _(s, d):
 
 @query("group_by_host", f"select {_HOST.format('url')} as host, count(*) as n, min(doc_id) as first_id from {_URLS} group by 1")
 def _(s, d):
-    return _urls(s, d).groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return present.by_host(_urls(s, d), "doc_id")
 
 
 @query("pretty_url", f"""with {_sql_parts(_URLS)} select url, array_to_string(list_concat([bare], list_filter(string_split(regexp_replace(path, '[?#].*', ''), '/'), lambda x: x <> '')), ' › ') as pretty from parts""")
@@ -755,9 +856,9 @@ def _(s, d):
     return read(s, d, "crawled_docs").select("fetch_no", present.shown_title(F.col("title")).alias("title"))
 
 
-@query("score_percent", "select query_id, doc_id, list_no, least(100, floor(100 * score::double + 0.5))::int as pct from (select distinct query_id, doc_id, list_no, score from ranked_lists where list_no = 1 and score is not null)")
+@query("score_percent", "select query_id, doc_id, list_no, least(100, floor(100 * score::double + 0.5))::int as pct from (select distinct query_id, doc_id, list_no, score from ranked_lists where score is not null)")
 def _(s, d):
-    r = read(s, d, "ranked_lists").where("list_no = 1 and score is not null").select("query_id", "doc_id", "list_no", "score").distinct()
+    r = read(s, d, "ranked_lists").where("score is not null").select("query_id", "doc_id", "list_no", "score").distinct()
     return r.select("query_id", "doc_id", "list_no", present.percent(F.col("score").cast("double")).alias("pct"))
 
 

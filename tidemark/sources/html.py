@@ -261,3 +261,19 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return pages.where("url is not null").select("url", "domain", "html", "headers", F.col("crawled_at")).mapInPandas(run, DOCUMENT)
+
+
+def fields(pages: DataFrame) -> DataFrame:
+    """``extract`` with the pages' own ``fetch_no``: (fetch_no, title, lang, headings, favicon_url, ...) of each page that is one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["fetch_no", *(c.split()[0] for c in DOCUMENT.split(", "))]
+        for batch in batches:
+            rows = []
+            for number, url, domain, source, headers in zip(*(batch[c] for c in ("fetch_no", "url", "domain", "html", "headers"))):
+                found = document(url, domain, source, dict(headers) if headers is not None else None, None)
+                if found:
+                    rows.append((number, *found))
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return pages.where("url is not null").select("fetch_no", "url", "domain", "html", "headers").mapInPandas(run, "fetch_no long, " + DOCUMENT)

@@ -80,3 +80,8 @@ def append_seed(table: DataFrame, added: DataFrame) -> DataFrame:
 
 def remove_seed(table: DataFrame, url: str) -> DataFrame:
     return table.where(F.col("url") != url)
+
+
+def first_icon(docs: DataFrame, position: str) -> DataFrame:
+    """(domain, favicon_url): the first icon of each domain."""
+    return docs.where("favicon_url is not null").groupBy("domain").agg(F.min_by("favicon_url", position).alias("favicon_url"))
