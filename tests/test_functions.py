@@ -180,3 +180,21 @@ def test_config(tmp_path):
         assert config.load(str(path)) == config.Config()
     assert config.load(str(tmp_path / "none")) == config.Config()
     assert [config.storage_state(int(gb * 1024**3), found.storage) for gb in (1, 31, 40)] == ["ok", "warn", "stop"]
+
+
+def test_query_terms_are_stem_and_legacy_stem():
+    assert se.query_terms("harbours archived", "none") == ["harbours", "archived"]
+    assert se.query_terms("harbours archived", "snowball") == ["harbour", "archiv"]
+    assert se.query_terms("boxes", "snowball") == ["box", "boxe"]
+
+
+def test_snippets_of_any_script():
+    from tidemark.functions.text import best_window, mark
+
+    body = "ä" * 10 + " " + "Füllwort und mehr " * 40 + "der alte Hafen liegt still " + "noch mehr Wörter hier " * 30
+    found = best_window(body, ["hafen"], ["hafen"])
+    assert "<mark>Hafen</mark>" in found and found.startswith("…") and found.endswith("…") and len(found.encode()) < 340
+    assert best_window(None, ["x"]) == "" and best_window("", []) == "" and best_window("short", ["none"]) == "short"
+    assert best_window("漢字" * 300, ["字"]).endswith("…")
+    assert mark("Harbour Map", ["harbour", "our map"]) == "<mark>Harbour Map</mark>" and mark("İstanbul map", ["map"]) == "İstanbul <mark>map</mark>"
+    assert mark(None, ["x"]) is None and mark("abab", ["ab"]) == "<mark>abab</mark>"
