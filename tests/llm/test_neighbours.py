@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 
 from tidemark.llm.neighbours import VantagePointNeighbours
+from tidemark.session import shared_dir
 
 SCHEMA = "rec_no long, doc_id long, embedding array<float>, id string, vec int"
 
@@ -90,3 +93,13 @@ def test_ties_go_to_the_smaller_id(spark):
     matrix = np.eye(40)
     found = pairs(VantagePointNeighbours(40, 5, factor=1.0, shard=8, sample=40).neighbours(spark.createDataFrame(rows_of(matrix), SCHEMA)))
     assert found == {(a, b) for a in range(100, 140) for b in [x for x in range(100, 140) if x != a][:5]}
+
+
+def test_vectors_are_sent_in_rounds_and_no_table_of_them_stays(spark):
+    rows = rows_of(clustered(dims=128))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = size()
+    found = VantagePointNeighbours(128, 5, factor=1.0, shard=100, sample=400, room=1.0).neighbours(spark.createDataFrame(rows, SCHEMA))
+    assert size() - before < len(rows) * 128 * 4
+    assert pairs(found) == brute(rows, 128, 5)

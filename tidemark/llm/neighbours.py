@@ -5,7 +5,9 @@ tree of its own. Distances are angles, a metric. A vector is first searched in i
 bounds the distance of its k-th neighbour; then it is sent to those other shards only that the
 triangle inequality leaves within ``factor`` times that distance. Factor one is exact, near copies and
 ties included, for everything is in double precision and bounds have a slack over its rounding; smaller
-factors prune more and may lose neighbours.
+factors prune more and may lose neighbours. Vectors are sent in rounds, some shards at a time, and each
+table of vectors goes when the next is written: disk holds a few copies of the vectors, however often
+they are sent.
 
 A vantage point need not be a stored vector. Taken from stored vectors, all distances are about a
 right angle in high dimensions and nothing can be pruned; so the point is the direction along which
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, release
 
 LEAF = 256
 #: Similarities that differ by less are equal: rounding of double-precision products.
@@ -138,11 +140,26 @@ def _unpack(vectors, dims: int) -> np.ndarray:
     return points / np.linalg.norm(points, axis=1, keepdims=True)
 
 
+def _rounds(asks: list[tuple[int, int]], room: float) -> list[tuple[int, int]]:
+    """First and last shard of each round: shards in order while what they are sent has room, one at least."""
+    out: list[tuple[int, int]] = []
+    left = 0.0
+    for shard, n in asks:
+        if out and n <= left:
+            out[-1] = (out[-1][0], shard)
+        else:
+            out.append((shard, shard))
+            left = room
+        left -= n
+    return out
+
+
 class VantagePointNeighbours:
     """k nearest neighbours by cosine of all valid vectors.
 
     Parameters: ``factor`` (1 is exact), ``sample``: vectors that shape the shards (all are indexed),
-    ``shard``: aimed-at vectors of a shard, ``queries``: routed vectors that one task searches in a shard.
+    ``shard``: aimed-at vectors of a shard, ``queries``: routed vectors that one task searches in a shard,
+    ``room``: routed vectors of a round, as a multiple of all directions (a shard is never split over rounds).
 
     Defined results: null, all-zero and wrongly long vectors, those with null or non-finite numbers,
     and null ids take no part; an id stored again counts once (with its smallest ``record``); no id is
@@ -150,8 +167,8 @@ class VantagePointNeighbours:
     once, so any share of the rows may be copies; with fewer than k + 1 ids all others are neighbours.
     """
 
-    def __init__(self, dims: int = 128, k: int = 5, factor: float = 0.25, sample: int = 20_000, shard: int = 8192, queries: int = 65_536, seed: int = 5):
-        self.dims, self.k, self.factor, self.sample, self.shard, self.queries, self.seed = dims, k, factor, sample, shard, queries, seed
+    def __init__(self, dims: int = 128, k: int = 5, factor: float = 0.25, sample: int = 20_000, shard: int = 8192, queries: int = 65_536, room: float = 2.0, seed: int = 5):
+        self.dims, self.k, self.factor, self.sample, self.shard, self.queries, self.room, self.seed = dims, k, factor, sample, shard, queries, room, seed
 
     def _valid(self, records: DataFrame, record: str, item: str, vector: str) -> DataFrame:
         """(id, vec, h, h2): the vectors' bytes as stored, one per id, and two hashes of their direction."""
@@ -197,17 +214,19 @@ class VantagePointNeighbours:
     def neighbours(self, records: DataFrame, record: str = "rec_no", item: str = "doc_id", vector: str = "embedding") -> DataFrame:
         """(id, neighbour, similarity): k rows per id."""
         spark, dims, k, seed = records.sparkSession, self.dims, self.k, self.seed
-        valid = materialize(self._valid(records, record, item, vector), "vectors")
-        # One entry per direction, with its k + 1 smallest ids; in salted steps, for copies may be many.
+        valid = materialize(self._valid(records, record, item, vector), "vectors", tidy=True)
+        named = materialize(valid.select("id", "h", "h2"), "named", tidy=True)
+        # One entry per direction, with its k + 1 smallest ids; in salted steps, for copies may be many. Vectors stay where they are.
         least = lambda c: F.slice(F.array_sort(c), 1, k + 1)
-        salted = valid.groupBy("h", "h2", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"), F.min("vec").alias("vec"))
+        salted = named.groupBy("h", "h2", F.pmod(F.xxhash64("id"), F.lit(4096)).alias("salt")).agg(least(F.collect_list("id")).alias("ids"))
         for salts in (64, 1):
-            salted = salted.groupBy("h", "h2", F.pmod("salt", F.lit(salts)).alias("salt")).agg(least(F.flatten(F.collect_list("ids"))).alias("ids"), F.min("vec").alias("vec"))
-        groups = materialize(salted.select("h", "h2", "ids", "vec", F.element_at("ids", 1).alias("rep")), "directions")
+            salted = salted.groupBy("h", "h2", F.pmod("salt", F.lit(salts)).alias("salt")).agg(least(F.flatten(F.collect_list("ids"))).alias("ids"))
+        groups = materialize(salted.select("h", "h2", "ids", F.element_at("ids", 1).alias("rep")), "directions", tidy=True)
         n = groups.count()
         part = min(1.0, 1.2 * self.sample / max(n, 1))
-        some = groups.select("vec") if part >= 1 else groups.where(F.abs(F.hash("h", F.lit(seed)) / 2.0**31) < part).select("vec")
-        some = some.limit(2 * self.sample).collect()  # a bounded sample: it shapes the shards only
+        some = groups.select("rep") if part >= 1 else groups.where(F.abs(F.hash("h", F.lit(seed)) / 2.0**31) < part).select("rep")
+        some = some.limit(2 * self.sample)  # a bounded sample: it shapes the shards only
+        some = valid.join(F.broadcast(some), F.col("id") == F.col("rep"), "left_semi").select("vec").collect()
         points = _unpack([r[0] for r in some], dims)
         shards = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / self.shard))))
         tree = build(points, max(1, -(-len(points) // shards)), np.random.default_rng(seed))
@@ -222,7 +241,9 @@ class VantagePointNeighbours:
                         shard[who] = s
                     yield batch.assign(shard=shard)
 
-        placed = materialize(groups.select("rep", "vec", F.size("ids").alias("copies")).mapInPandas(home, "rep long, vec binary, copies int, shard int"), "placed")
+        reps = groups.select("rep", F.size("ids").alias("copies")).join(valid.select(F.col("id").alias("rep"), "vec"), "rep").select("rep", "vec", "copies")
+        placed = materialize(reps.mapInPandas(home, "rep long, vec binary, copies int, shard int"), "placed", tidy=True)
+        release(valid)
 
         def first(pdf: pd.DataFrame) -> pd.DataFrame:
             vec, ids = _unpack(pdf["vec"], dims), pdf["rep"].to_numpy()
@@ -232,17 +253,15 @@ class VantagePointNeighbours:
             kth = np.sort(sims, axis=1)[:, ::-1][:, k - 1]
             reach = np.where(kth > -2, np.arccos(np.clip(kth, -1, 1)), np.pi)
             reach[pdf["copies"].to_numpy() > k] = 0
-            out = pd.DataFrame({"rep": ids, "ids": [ids[r[s > -2]] for r, s in zip(rows, sims)], "sims": [s[s > -2] for s in sims],
-                                "vec": None, "reach": 0.0, "to": -1})
-            sent = []
-            for s, who in enumerate(routes(shared.value, vec, reach)):
-                if s != pdf["shard"].iloc[0] and len(who):
-                    who = who[reach[who] > 0]
-                    sent.append(pd.DataFrame({"rep": ids[who], "ids": None, "sims": None, "vec": pdf["vec"].to_numpy()[who], "reach": reach[who], "to": s}))
-            return pd.concat([out, *sent], ignore_index=True) if sent else out
-
-        schema = "rep long, ids array<long>, sims array<double>, vec binary, reach double, to int"
-        once = materialize(placed.groupBy("shard").applyInPandas(first, schema), "home")
+            sent = [(s, who[reach[who] > 0]) for s, who in enumerate(routes(shared.value, vec, reach)) if s != pdf["shard"].iloc[0]]
+            who, to = np.concatenate([np.empty(0, np.int64), *(w for _, w in sent)]), np.repeat(np.array([s for s, _ in sent], np.int32), [len(w) for _, w in sent])
+            ends = np.cumsum(np.bincount(who, minlength=len(vec)))[:-1]
+            return pd.DataFrame({"rep": ids, "shard": pdf["shard"].to_numpy(), "vec": pdf["vec"].to_numpy(), "ids": [ids[r[s > -2]] for r, s in zip(rows, sims)],
+                                 "sims": [s[s > -2] for s in sims], "reach": reach, "to": np.split(to[np.argsort(who, kind="stable")], ends)})
+
+        schema = "rep long, shard int, vec binary, ids array<long>, sims array<double>, reach double, to array<int>"
+        once = materialize(placed.groupBy("shard").applyInPandas(first, schema), "home", tidy=True)
+        release(placed)
 
         def again(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             if not len(points) or not len(asked):
@@ -250,19 +269,29 @@ class VantagePointNeighbours:
             vec, ids = _unpack(points["vec"], dims), points["rep"].to_numpy()
             search = _Search(vec, ids, width, factor, np.random.default_rng(seed))
             rows, sims = search.run(_unpack(asked["vec"], dims), asked["rep"].to_numpy(), asked["reach"].to_numpy())
-            good = sims > -2
+            # What is farther than the home shard's k-th can't be among the nearest.
+            good = (sims > -2) & (sims >= np.cos(asked["reach"].to_numpy())[:, None] - 1e-9)
             return pd.DataFrame({"rep": asked["rep"].to_numpy(), "ids": [ids[r[g]] for r, g in zip(rows, good)], "sims": [s[g] for s, g in zip(sims, good)]})
 
         # A shard that many vectors ask for is searched by several tasks, each with the shard's points and a part of them.
-        routed = once.where("to >= 0").select(F.col("to").alias("shard"), "rep", "vec", "reach")
-        parts = routed.groupBy("shard").agg(F.ceil(F.count("*") / self.queries).cast("int").alias("parts"))
-        asked = routed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
-        points_of = placed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        other = points_of.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(again, "rep long, ids array<long>, sims array<double>")
-        both = once.where("to < 0").select("rep", "ids", "sims").unionByName(other)
+        asks = once.select(F.explode("to").alias("shard")).groupBy("shard").agg(F.count("*").alias("n"))
+        asks = materialize(asks.withColumn("parts", F.ceil(F.col("n") / self.queries).cast("int")), "asks", tidy=True)
+        parts, found = F.broadcast(asks.select("shard", "parts")), []
+        for low, high in _rounds(sorted(asks.select("shard", "n").collect()), self.room * n):  # a row a shard
+            routed = once.select("rep", "vec", "reach", F.explode(F.filter("to", lambda x: x.between(low, high))).alias("shard"))
+            asked = routed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+            points_of = once.where(F.col("shard").between(low, high)).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            points_of = points_of.select(*[F.col(c).alias(c) for c in ("rep", "vec", "shard", "part")])  # columns of their own: both sides are of one table
+            other = points_of.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(again, "rep long, ids array<long>, sims array<double>")
+            found.append(materialize(other.where(F.size("ids") > 0), "found", tidy=True))
+        both = once.select("rep", "ids", "sims")
+        for other in found:
+            both = both.unionByName(other)
         # At most (shards visited) x (k + 3) candidates a vector.
         near = (both.groupBy("rep").agg(F.flatten(F.collect_list(F.arrays_zip("sims", "ids"))).alias("c"))
                 .select("rep", F.slice(F.array_sort(F.transform("c", lambda x: F.struct(F.round(-x["sims"], DIGITS).alias("less"), x["ids"].alias("id")))), 1, k).alias("c")))
+        near = materialize(near, "near", tidy=True)
+        release(once, *found)
         ids = groups.select("rep", "ids")
         pairs = near.select("rep", F.explode("c").alias("c")).select("rep", F.col("c.id").alias("near"), (-F.col("c.less")).alias("sim"))
         expanded = (pairs.join(ids.select(F.col("rep").alias("near"), F.col("ids").alias("near_ids")), "near")
@@ -272,6 +301,6 @@ class VantagePointNeighbours:
         best = (expanded.select("rep", F.explode(F.transform("near_ids", lambda i: F.struct((-F.col("sim")).alias("less"), i.alias("id")))).alias("c"))
                 .groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("c")), 1, 2 * k + 1).alias("c")))
         keyed = groups.select("rep", "h", "h2").join(best, "rep").drop("rep")
-        members = valid.select("id", "h", "h2").join(keyed, ["h", "h2"])
+        members = named.join(keyed, ["h", "h2"])
         return (members.withColumn("c", F.slice(F.filter("c", lambda x: x["id"] != F.col("id")), 1, k))
                 .select("id", F.explode("c").alias("c")).select("id", F.col("c.id").alias("neighbour"), (-F.col("c.less")).alias("similarity")))
